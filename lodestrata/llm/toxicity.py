@@ -36,6 +36,11 @@ WINDOW = 32
 GAIN = 16.0
 THRESHOLD = 0.3
 EPOCHS = 7
+STEPS = 600
+RATE = 0.1
+DECAY = 2e-4
+#: Documents of the sample that a subword must occur in to be learnt.
+MIN_DOCS = 4
 WORD = re.compile(r"[^\W_]+")
 _CACHE = 400_000
 
@@ -99,6 +104,8 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5, epochs: int
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
     subs = [np.array(subwords(w)) for w in vocabulary]
+    spread = np.bincount(np.concatenate([np.unique(np.concatenate([subs[w] for w in np.unique(d)])) for d in docs if len(d)] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
+    common = spread >= MIN_DOCS  # rarer subwords would only be learnt by heart; they keep weight 0
     size = np.array([len(s) for s in subs], np.int64)
     flat_subs = np.concatenate(subs) if subs else np.zeros(0, np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
@@ -108,7 +115,8 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5, epochs: int
     if not len(windows) or len(set(y[owner].tolist())) < 2:
         return flat
     positive, negative = np.flatnonzero(y[owner] == 1), np.flatnonzero(y[owner] == 0)
-    embedding = rng.normal(0, 0.02, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    embedding = rng.normal(0, 0.02, (BUCKETS, DIMENSIONS)).astype(np.float32) * common[:, None]
+    epochs = max(epochs, -(-STEPS * 256 // (len(positive) + min(len(negative), max(4 * len(positive), 2000)))))
     softmax = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen_e, seen_w, seen_b = np.full(embedding.shape, 1e-6, np.float32), np.full(softmax.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -120,7 +128,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5, epochs: int
 
     for epoch in range(epochs):
         chosen = positive
-        if epoch >= 2:
+        if epoch >= max(2, epochs // 3):
             w = word_logits()
             means = np.array([w[docs[windows[k][0]][windows[k][1] : windows[k][2]]].mean() for k in positive]) + bias[1] - bias[0]
             top: dict[int, tuple[float, int]] = {}
@@ -148,14 +156,16 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5, epochs: int
             grad_w, grad_b, grad_bag = GAIN * bags.T @ p, p.sum(0), GAIN * p @ softmax.T
             per_token = (grad_bag / n[:, None])[row]
             grad_word = np.stack([np.bincount(back, per_token[:, k], len(used)) for k in range(DIMENSIONS)], 1) / size[used, None]
+            learnt = common[ids]
+            ids, word = ids[learnt], word[learnt]
             unique, which = np.unique(ids, return_inverse=True)
-            grad_e = np.stack([np.bincount(which, grad_word[word, k], len(unique)) for k in range(DIMENSIONS)], 1)
+            grad_e = np.stack([np.bincount(which, grad_word[word, k], len(unique)) for k in range(DIMENSIONS)], 1) + DECAY * embedding[unique]
             seen_e[unique] += grad_e**2
-            embedding[unique] -= 0.1 * grad_e / np.sqrt(seen_e[unique])
+            embedding[unique] -= RATE * grad_e / np.sqrt(seen_e[unique])
             seen_w += grad_w**2
-            softmax -= 0.1 * grad_w / np.sqrt(seen_w)
+            softmax -= RATE * grad_w / np.sqrt(seen_w)
             seen_b += grad_b**2
-            bias -= 0.1 * grad_b / np.sqrt(seen_b)
+            bias -= RATE * grad_b / np.sqrt(seen_b)
             touched[unique] = True
     weight = np.where(touched, GAIN * (embedding @ (softmax[:, 1] - softmax[:, 0])), 0).astype(np.float32)
     model = Model(weight, float(bias[1] - bias[0]), 1.0, 0.0)
