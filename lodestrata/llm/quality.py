@@ -97,13 +97,13 @@ class Statistics:
         def vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
             return good.astype(np.int8) - bad.astype(np.int8)
 
-        some = self.words > 0
+        never = np.zeros(len(self.words), bool)
         return np.stack(
             [
-                vote((self.symbols < 0.01) & some, self.symbols > 0.04),
-                vote((self.capitals < 0.12) & some, self.capitals > 0.3),
+                vote(never, self.symbols > 0.04),
+                vote(never, self.capitals > 0.3),
                 vote((self.word_length >= 3) & (self.word_length <= 6.3), (self.word_length < 2.5) | (self.word_length > 7.5)),
-                vote((self.stutter < 0.03) & (self.words >= 10), self.stutter > 0.15),
+                vote(never, self.stutter > 0.15),
                 vote((self.repeated_lines < 0.15) & (self.n_lines >= 2), self.repeated_lines > 0.4),
                 vote(self.function_words > 0.15, (self.function_words < 0.05) & (self.words >= 10)),
                 vote(self.ended > 0.6, (self.ended < 0.1) & (self.words >= 10)),
@@ -135,8 +135,8 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
     """Posterior of good for each vote pattern, each labeller's vote rates (class x labeller x vote), and the share of good."""
     k, l = patterns.shape
     counts = counts.astype(float)
-    balance = patterns.sum(axis=1) / np.maximum(1, np.abs(patterns).sum(axis=1))
-    post = np.clip(0.5 + 0.45 * balance - 0.25 * ((patterns < 0).any(axis=1)), 0.02, 0.98)
+    # Heuristics mostly rule out one fault each: start from any fault found.
+    post = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
     rates = np.zeros((2, l, 3))
     for _ in range(rounds):
         weight = np.stack([(1 - post) * counts, post * counts])
@@ -146,10 +146,7 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
         rates /= rates.sum(axis=2, keepdims=True)
         log = np.tile(np.log([[1 - prior], [prior]]), (1, k))
         for j in range(l):
-            voted = patterns[:, j] != 0
-            # An abstention says nothing; a vote counts by how often the labeller casts it when it votes.
-            cast = rates[:, j] / np.maximum(1e-9, 1 - rates[:, j, 1:2])
-            log[:, voted] += np.log(np.maximum(cast[:, patterns[voted, j] + 1], 1e-9))
+            log += np.log(rates[:, j, :][:, patterns[:, j] + 1])
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         if np.abs(new - post).max(initial=0) < 1e-6:
             post = new
