@@ -26,6 +26,7 @@ from .common import WORD_BYTE, lowered, mixed, prefix_hash, raw, sampled, slices
 SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 12_000
 BUCKETS = 1 << 17
+PRIOR = 3.0
 LABELLERS = ("symbols", "capitals", "word_length", "stutter", "lines", "function_words", "sentences", "length")
 
 #: Frequent function words of English, German, French and Spanish: fixed values.
@@ -143,7 +144,11 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
         prior = (weight[1].sum() + 1) / (counts.sum() + 2)
         for v in (-1, 0, 1):
             rates[:, :, v + 1] = weight @ (patterns == v) + 0.5
+        # Prior belief, worth PRIOR times the good documents: a fault is seldom found in a good document.
         rates /= rates.sum(axis=2, keepdims=True)
+        fault = rates[1, :, 0] / (1 + PRIOR)
+        rates[1, :, 1:] *= ((1 - fault) / (1 - rates[1, :, 0]))[:, None]
+        rates[1, :, 0] = fault
         log = np.tile(np.log([[1 - prior], [prior]]), (1, k))
         for j in range(l):
             log += np.log(rates[:, j, :][:, patterns[:, j] + 1])
