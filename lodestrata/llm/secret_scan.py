@@ -22,7 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored, text_of
@@ -118,15 +118,15 @@ def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example for every document."""
     scanned = candidates(docs, repo_col, owner_col)
     owners = stored(ownership(scanned), "owners")
-    exploded = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("x")).select("row", "x.*")
+    plain = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
+    exploded = scanned.where(F.size("found") > 0).select("row", *plain, F.explode("found").alias("x")).select("row", *plain, "x.*")
     judged = exploded.join(owners, "value").withColumn("live", F.col("random") & (F.col("owners") <= live_owners))
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     shown = F.when(F.col("base") | F.col("live"), F.struct("start", rank.alias("rank"), F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("span")))
-    per_row = judged.groupBy("row").agg(
+    per_row = judged.groupBy("row", *plain).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["span"]), ",").alias("spans"),
         F.count_if("live").alias("n_live"),
         F.count_if(F.col("owners") > live_owners).alias("n_example"),
     )
-    quiet = scanned.where(F.size("found") == 0).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.lit("").alias("spans"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_example"))
-    loud = scanned.where(F.size("found") > 0).join(per_row, "row").select(*quiet.columns)
-    return quiet.unionByName(loud)
+    quiet = scanned.where(F.size("found") == 0).select(*plain, F.lit("").alias("spans"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_example"))
+    return quiet.unionByName(per_row.drop("row"))
