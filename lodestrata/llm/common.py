@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Rows up to which a list of keys is broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch between the JVM and a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -81,6 +84,35 @@ def fresh(df: DataFrame, name: str) -> str:
 
 # --------------------------------------------------------------------------- Arrow text
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of bounded bytes; a worker gives freed memory back after each partition.
+
+    Workers are reused, so what one partition's caches leave in the allocators would stay beside the next one's.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get(ARROW_BYTES)[:-1] if spark.conf.get(ARROW_BYTES)[-1:] in "bB" else spark.conf.get(ARROW_BYTES)) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(released, schema)
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each part holds about `limit` bytes of the text column, or one row."""
     for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, normalised, prefix_hash, slices, span_hash, stored, text_of
+from .common import in_arrow, lowered, normalised, prefix_hash, slices, span_hash, stored, text_of
 
 Q = 16
 EDIT_RATE = 0.05
@@ -175,7 +175,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_r
                 ["doc_id", "contaminated", "n_items", "min_edits", "item_ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE) -> DataFrame:
@@ -187,4 +187,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_ra
             _, rows = _found(part, indexes)
             yield part.filter(pa.array([not x for x in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import fresh, in_arrow, stored
 
 #: Counters of a summary. A digest on more than one row in `COUNTERS + 1` is surely found.
 COUNTERS = 1024
@@ -51,7 +51,7 @@ def heavy_candidates(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
         kept = misra_gries(kept, counters)
         yield pa.RecordBatch.from_arrays([pa.array(list(kept.keys()), pa.binary()), pa.array(list(kept.values()), pa.int64())], ["digest", "n"])
 
-    merged = digests.select("digest").mapInArrow(summarise, "digest binary, n bigint").groupBy("digest").agg(F.sum("n").alias("n"))
+    merged = in_arrow(digests.select("digest"), summarise, "digest binary, n bigint").groupBy("digest").agg(F.sum("n").alias("n"))
     # Merging keeps the largest sums; what it would subtract from all doesn't change their order.
     return merged.orderBy(F.desc("n"), "digest").limit(counters)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -267,4 +267,4 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", id_col: str = "p
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, schema)
+    return in_arrow(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")), run, schema)

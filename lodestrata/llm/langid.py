@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled, slices, text_of
+from .common import held_out, in_arrow, sampled, slices, text_of
 
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 20_000
@@ -33,7 +33,7 @@ EVIDENCE = 20
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+_CACHE = 120_000
 
 
 class Model:
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text", held_out().alias("held_out")), run, schema)
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, model: Model | None = None) -> DataFrame:
@@ -166,4 +166,4 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, model: Model | None
         for part, found in _scored(batches, bc):
             yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

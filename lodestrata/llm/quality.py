@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, lowered, mixed, prefix_hash, raw, sampled, slices, span_hash, stored, text_of, word_spans
+from .common import WORD_BYTE, in_arrow, lowered, mixed, prefix_hash, raw, sampled, slices, span_hash, stored, text_of, word_spans
 
 SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 12_000
@@ -212,7 +212,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
             votes = Statistics(text_of(part)).votes()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(["".join("-0+"[v + 1] for v in row) for row in votes.tolist()], pa.string())], ["doc_id", "pattern"])
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern string"), "votes")
+    return stored(in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern string"), "votes")
 
 
 def posteriors(votes: DataFrame) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
@@ -247,4 +247,4 @@ def classify_quality(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
                 ["doc_id", "votes", "posterior", "score", "label"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes string, posterior double, score double, label int")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes string, posterior double, score double, label int")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_of
+from .common import in_arrow, slices, stored, text_of
 
 #: Base kinds, in order, with the least length that passes and the group it is measured on.
 BASE = {
@@ -104,7 +104,7 @@ def candidates(docs: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
             )
 
     plain = docs.select("doc_id", "text", F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
-    return stored(plain.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    return stored(in_arrow(plain, run, schema).withColumn("row", F.monotonically_increasing_id()), "candidates")
 
 
 def ownership(found: DataFrame) -> DataFrame:

@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, text_of
+from .common import in_arrow, slices, text_of
 
 VOCABULARY = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-_CACHE = 500_000
+_CACHE = 400_000
 
 
 def load_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
@@ -103,4 +103,4 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([counter.text(t) for t in text_of(part).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled, slices, text_of
+from .common import held_out, in_arrow, sampled, slices, text_of
 
 SAMPLE_DOCS = 8000
 SAMPLE_CHARS = 20_000
@@ -42,7 +42,7 @@ DECAY = 2e-4
 #: Documents of the sample that a subword must occur in to be learnt.
 MIN_DOCS = 4
 WORD = re.compile(r"[^\W_]+")
-_CACHE = 400_000
+_CACHE = 300_000
 
 
 def subwords(word: str) -> list[int]:
@@ -215,4 +215,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = Non
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int"
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text", held_out().alias("held_out")), run, schema)
