@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Column functions: references, text lines, formats, hashes and codecs."""

@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Operators over the catalogue of references, entries and tasks."""

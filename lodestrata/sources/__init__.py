@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Sources and sinks: the object table, archives and manifests."""

@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Structured Streaming forms of the change log and of the lease sweep."""
