@@ -71,11 +71,11 @@ def blake3(data: bytes, size: int = 16) -> bytes:
     return cv[:, 0].astype("<u4").tobytes()[:size]
 
 
-@F.pandas_udf("binary")
-def _blake3_udf(content: pd.Series) -> pd.Series:
-    return content.map(lambda x: None if x is None else blake3(bytes(x)))
-
-
 def blake3_128(content: Column) -> Column:
     """16-byte hash of a binary column; null stays null."""
-    return _blake3_udf(content)
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: None if b is None else blake3(bytes(b)))
+
+    return run(content)

@@ -101,7 +101,7 @@ def reconstruct(manifests: DataFrame, contents: DataFrame, max_depth: int = 16)
             children = [Child(r.path, b"" if r.entry_type == 1 else bytes(r.content), None if pd.isna(r.mtime) else int(r.mtime), None if pd.isna(r.mode) else int(r.mode), r.format_metadata) for r in pdf.itertuples()]
             return pd.DataFrame({"content": [WRITE[write.format](children)]})
 
-        def grouped(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def grouped(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             write.format = key[1]
             return write(pdf).assign(container_key=key[0])[["container_key", "content"]]
 

@@ -16,7 +16,11 @@ def tokens(text: Column) -> Column:
 def term_rank(text: Column, terms: list[str]) -> Column:
     """Occurrences of all terms; null unless every term occurs."""
     words = tokens(text)
-    counts = [F.size(F.filter(words, lambda x, t=t: x == t.lower())) for t in terms]
+
+    def occurrences(term: str) -> Column:
+        return F.size(F.filter(words, lambda x: x == term.lower()))
+
+    counts = [occurrences(t) for t in terms]
     every = reduce(lambda a, b: a & b, [c > 0 for c in counts])
     return F.when(every, reduce(lambda a, b: a + b, counts))
 
