@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import compare
+from pyspark.sql import functions as F
 
 from lodestrata.llm import decontam, exact_dedup, html_paths, langid, mixing, near_dedup, quality, queries, secret_scan, token_count, toxicity
 
@@ -160,6 +161,39 @@ def test_near_dedup_brute_force(spark):
     assert all(share(i, c) > 0 for i, c in got.items())
 
 
+def test_near_dedup_exact_search(spark):
+    """Without any link known, the exact search leads to every similar pair of texts that share buckets."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    common = [word() for _ in range(40)]
+    rows = []
+    for _ in range(12):
+        base = common + [word() for _ in range(rng.randint(20, 120))]
+        for _ in range(rng.choice((1, 4, 20))):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    weights = spark.sparkContext.broadcast(near_dedup.Weights(np.zeros(0, np.uint64), np.zeros(0)))
+    nodes = near_dedup.signatures(docs, weights).groupBy("content").agg(F.min("doc_id").alias("doc_id"))
+    sets = near_dedup.shingle_sets(docs, nodes.select("doc_id", "content"), weights)
+    shared = nodes.select(F.lit(0).alias("band"), F.lit(0).cast("bigint").alias("key"), "content", F.lit(1).cast("bigint").alias("n"))
+    none = spark.createDataFrame([], "node binary, label binary")
+    found = near_dedup.verified(near_dedup.remaining_pairs(shared, none, sets), sets).collect()
+    ids = {bytes(r.content): r.doc_id for r in nodes.collect()}
+    got = {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in found}
+    bags = {i: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in rows)}
+    alike = lambda a, b: sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values())
+    one_of_each = sorted(ids.values())
+    want = {(a, b) for b in one_of_each for a in one_of_each if a < b and alike(a, b)}
+    assert not want - got, want - got
+    assert not got - want, got - want
+    assert len(want) > 50
+    one = nodes.select(F.col("content").alias("node"), F.lit(b"x").alias("label"))
+    assert near_dedup.remaining_pairs(shared, one, sets).count() == 0
+
+
 def test_consistent_weighted_sampling_estimates_similarity():
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]
