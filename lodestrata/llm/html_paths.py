@@ -5,9 +5,11 @@ punctuation are aggregated into ratios per node; the ratios are smoothed along t
 order, fused with the path's ratio and its link share, and thresholded. Block elements inside one
 article share a few paths, so short paragraphs stand or fall with their path, never alone.
 
-Where the page marks its main element (article, main), paths inside it are fused with full weight and
-others with none; navigation, footers, asides, forms, scripts, notices, adverts and comment sections
-are boilerplate paths, inside an article too.
+Marks are bounded factors of that score, and the threshold selects in every case: MAIN inside a marked main
+element (article, main), BOILER for each of up to two nested marks of boilerplate (navigation, footers, asides,
+forms, notices, adverts, comment sections), BESIDE for unmarked blocks in the container or marked element of the
+strongest path. So a long text outside a teaser's article, or under a wrapper whose class
+names a sidebar, stays. Only what isn't displayed (scripts, hidden elements) never counts.
 
 Defined results: null, empty and blank pages give an empty text; broken or unclosed markup is read
 leniently to its end; repeated rows give repeated results; an empty table gives an empty result.
@@ -62,13 +64,17 @@ BOILER_WORDS = frozenset(
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
 KEEP_HEADER_IN = frozenset(("article", "main"))
 
+#: Factors of the score; HIDDEN stands for elements that aren't displayed, in place of a number of boilerplate marks.
+MAIN, BOILER, BESIDE = 3.0, 1 / 6, 3.0
+DEEPEST, HIDDEN = 2, 3
+
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(text)}
 
 
-def _kind(tag: str, attrs: str, in_main: bool) -> tuple[str, bool, bool]:
-    """Path step, whether the element is boilerplate, whether it is the page's main element."""
+def _kind(tag: str, attrs: str, in_main: bool) -> tuple[str, int, bool]:
+    """Path step, 1 for boilerplate or HIDDEN or 0, whether it is the page's main element."""
     found = _attributes(attrs) if attrs and not attrs.isspace() else {}
     words = [w for key in ("class", "id") for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get(key, "")).lower()) if w]
     role = found.get("role", "").lower()
@@ -76,30 +82,30 @@ def _kind(tag: str, attrs: str, in_main: bool) -> tuple[str, bool, bool]:
         tag in BOILER_TAGS
         or (tag == "header" and not in_main)
         or role in BOILER_ROLES
-        or "hidden" in found
         or found.get("aria-hidden", "").lower() == "true"
-        or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()))
         or (tag not in ("html", "body", "article", "main") and any(w in BOILER_WORDS for w in words))
     )
     main = not boiler and (tag in KEEP_HEADER_IN or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody")
     step = tag + ("." + words[0] if words and tag not in INLINE_FORMAT else "")
-    return step, boiler, main
+    if "hidden" in found or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()):
+        return step, HIDDEN, False
+    return step, int(boiler), main
 
 
 class _Block:
     __slots__ = ("path", "parts", "linked", "boiler", "main")
 
-    def __init__(self, path: tuple[str, ...], boiler: bool, main: bool):
+    def __init__(self, path: tuple[str, ...], boiler: int, main: bool):
         self.path, self.parts, self.linked, self.boiler, self.main = path, [], 0, boiler, main
 
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.parts)).strip()
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
-    """Blocks of text in page order: path, text, characters in links, boilerplate, inside a main element."""
-    # Each open element: tag, step, is block, boilerplate at or above, main at or above.
-    stack: list[tuple[str, str, bool, bool, bool]] = []
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int, bool]]:
+    """Blocks of text in page order: path, text, characters in links, boilerplate marks, inside a main element."""
+    # Each open element: tag, step, is block, boilerplate marks at and above, main at or above.
+    stack: list[tuple[str, str, bool, int, bool]] = []
     out: list[_Block] = []
     current: _Block | None = None
     links = 0
@@ -112,7 +118,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
                 return
             top = stack[-1] if stack else None
             path = tuple(s[1] for s in stack if s[0] not in INLINE_FORMAT)
-            current = _Block(path, bool(top and top[3]), bool(top and top[4]))
+            current = _Block(path, top[3] if top else 0, bool(top and top[4]))
             out.append(current)
         current.parts.append(text)
         if links:
@@ -185,11 +191,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
             current = None
         elif tag == "a":
             close({"a"}, BLOCK)
-        above_boiler, above_main = (stack[-1][3], stack[-1][4]) if stack else (False, False)
+        above_boiler, above_main = (stack[-1][3], stack[-1][4]) if stack else (0, False)
         step, boiler, main = _kind(tag, attrs, above_main)
-        if boiler and not above_boiler:
+        marks = HIDDEN if HIDDEN in (boiler, above_boiler) else min(above_boiler + boiler, DEEPEST)
+        if marks > above_boiler:
             current = None
-        stack.append((tag, step, block or boiler, above_boiler or boiler, above_main or main))
+        stack.append((tag, step, block or marks > above_boiler, marks, above_main or main))
         links += tag == "a"
     done = []
     for b in out:
@@ -198,14 +205,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
     return done
 
 
-def path_scores(found: list, window: int = 2, main_weight: float = 1.0) -> np.ndarray:
-    """Fused score of each block: path ratio, smoothed node ratio, punctuation, link share and main-element weight."""
+def path_scores(found: list, window: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Path number and score of each block: path ratio, smoothed node ratio, punctuation and link share, times the marks' factors."""
     n = len(found)
     length = np.array([len(b[1]) for b in found], float)
     marks = np.array([len(PUNCTUATION.findall(b[1])) for b in found], float)
     linked = np.array([b[2] for b in found], float)
+    boiler = np.array([b[3] for b in found])
+    marked = np.array([b[4] for b in found])
+    # Equal paths with other marks above them (main, boilerplate) are other paths.
     ids: dict[tuple, int] = {}
-    path = np.array([ids.setdefault(b[0], len(ids)) for b in found])
+    path = np.array([ids.setdefault((b[0], b[3], b[4]), len(ids)) for b in found])
     nodes = np.bincount(path)
     path_length = np.bincount(path, length)
     path_marks = np.bincount(path, marks)
@@ -214,44 +224,38 @@ def path_scores(found: list, window: int = 2, main_weight: float = 1.0) -> np.nd
     kernel = np.exp(-0.5 * (np.arange(-window, window + 1) / max(1, window / 2)) ** 2)
     weight = np.convolve(np.ones(n), kernel, "same")[:n] if n >= len(kernel) else np.ones(n)
     smooth = np.convolve(length, kernel, "same")[:n] / weight if n >= len(kernel) else length
-    punctuated = 1 + (path_marks / np.maximum(1, nodes))[path]
+    punctuated = 1 + np.minimum(path_marks / nodes, 1)[path]
     prose = 1 - (path_links / np.maximum(1, path_length))[path]
-    fused = np.sqrt(np.maximum(ratio, 1) * np.maximum(smooth, 1)) * np.log1p(punctuated) * prose
-    marked = np.array([b[4] for b in found])
-    boiler = np.array([b[3] for b in found])
-    if (marked & ~boiler).any():
-        fused = np.where(marked, np.maximum(fused, main_weight), 0.0)
-    return np.where(boiler, 0.0, fused)
+    # Lengths span orders of magnitude and factors don't, so they meet on a logarithmic scale.
+    fused = np.sqrt(np.log1p(ratio) * np.log1p(smooth)) * np.log1p(punctuated) * prose
+    fused *= np.where(marked, MAIN, 1.0) * np.where(boiler == HIDDEN, 0.0, BOILER ** boiler.astype(float))
+    if fused.any():
+        mean = np.bincount(path, fused * length) / np.maximum(1, path_length)
+        strongest = int(np.flatnonzero(path == np.argmax(mean * np.log1p(path_length)))[0])
+        above, within = found[strongest][0][:-1], found[strongest][4]
+        # Headings, lists and captions of the strongest path's container or main element belong to it.
+        own = np.array([b[3] == found[strongest][3] and ((within and b[4]) or (len(above) > 0 and b[0][: len(above)] == above)) for b in found])
+        fused *= np.where(own & (path != path[strongest]) & (2 * linked < length), BESIDE, 1.0)
+    return path, fused
 
 
 def extract_text(page: str | None, threshold: float = 0.35) -> str:
-    """Main text of a page: the blocks whose path's fused score reaches the threshold.
+    """Main text of a page: the blocks whose path's mean score reaches the threshold, a share of the page's mean.
 
-    Without a marked main element the threshold is a share of the page's length-weighted mean score;
-    inside a marked one every path with a positive score stays.
+    The page's mean weighs each block by its length and score, so that neither much boilerplate nor many marks alone set it.
     """
     if not page:
         return ""
     found = blocks(page)
     if not found:
         return ""
-    score = path_scores(found)
-    length = np.array([len(b[1]) for b in found], float)
+    path, score = path_scores(found)
     if not score.any():
         return ""
-    if any(b[4] and not b[3] for b in found):
-        keep = score > 0
-    else:
-        # A path's blocks stand together: its best evidence is its length-weighted mean.
-        ids: dict[tuple, int] = {}
-        path = np.array([ids.setdefault(b[0], len(ids)) for b in found])
-        mean = np.bincount(path, score * length) / np.bincount(path, length)
-        keep = (mean[path] >= threshold * np.average(score, weights=np.where(score > 0, length, 0))) & (score > 0)
-        best = int(np.argmax(np.bincount(path, score * length)))
-        anchor = found[int(np.flatnonzero(path == best)[0])][0]
-        for i, b in enumerate(found):  # headings and lists beside the main path belong to it
-            if score[i] > 0 and not keep[i] and b[0][: len(anchor) - 1] == anchor[:-1] and len(anchor) > 1 and b[2] * 2 < len(b[1]):
-                keep[i] = True
+    length = np.array([len(b[1]) for b in found], float)
+    # A path's blocks stand together: its evidence is its length-weighted mean.
+    mean = (np.bincount(path, score * length) / np.bincount(path, length))[path]
+    keep = (mean >= threshold * np.average(mean, weights=mean * length)) & (score > 0)
     return "\n".join(b[1] for b, k in zip(found, keep, strict=True) if k)
 
 

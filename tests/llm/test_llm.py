@@ -88,6 +88,22 @@ def test_html():
     assert [html_paths.extract_text(x) for x in (None, "", "  ", "<p", "<!--", "<script>x")] == [""] * 6
 
 
+def test_html_marks_do_not_decide_alone():
+    words = lambda k: " ".join(f"Sentence {k} has words enough to be long, number {i}." for i in range(8))
+    body = [words(k) for k in range(6)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in body)
+    teaser = "<html><body><article class=card><p>Read this.</p></article><div class=text>" + paragraphs + "</div></body></html>"
+    assert "\n".join(body) in html_paths.extract_text(teaser)
+    for wrapper in ("<div class='content-sidebar-wrap'>", "<div class='has-sidebar'>", "<form>"):
+        page = "<html><body>" + wrapper + "<nav><a href=/>Home</a></nav><article><h1>Title</h1>" + paragraphs + "</article><div class=sidebar><p>More of us, here.</p></div></body></html>"
+        assert html_paths.extract_text(page) == "\n".join(["Title", *body])
+    linked = "<html><body><article>" + paragraphs + "<div class=more><a href=a>Another page</a> <a href=b>And one more</a></div></article></body></html>"
+    assert html_paths.extract_text(linked) == "\n".join(body)
+    comments = "<html><body><article>" + paragraphs + "</article><div class=comments>" + "<p>I think so too, thanks.</p>" * 60 + "</div></body></html>"
+    assert html_paths.extract_text(comments) == "\n".join(body)
+    assert html_paths.extract_text("<div hidden><p>" + body[0] + "</p></div><p>Seen, at last.</p>") == "Seen, at last."
+
+
 def test_html_on_pages(spark):
     import html
 
