@@ -17,32 +17,31 @@ def blob_detail(entries: DataFrame, leaf: str, container: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_containers"), F.array_join(F.sort_array(F.collect_list(container)), ",").alias("containers"))
 
 
-def walk(spark, edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> DataFrame:
+def walk(edges: DataFrame, roots: DataFrame, store) -> DataFrame:
     """root, node, depth: the least depth at which a node is reached; depth 0 is the root itself.
 
-    edges(parent, child), roots(node). Recursive SQL with a depth guard: a cycle ends at max_depth.
+    edges(parent, child), roots(node). It ends when no new (root, node) appears, whatever the depth, the rows or the cycles.
     """
-    edges.createOrReplaceTempView("ld_edges")
-    roots.createOrReplaceTempView("ld_roots")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(root, node, depth) AS (
-          SELECT node, node, 0 FROM ld_roots
-          UNION ALL
-          SELECT r.root, e.child, r.depth + 1 FROM reach r JOIN ld_edges e ON e.parent = r.node WHERE r.depth < {max_depth}
-        ) SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node""")
+    reached = _reached(edges, roots.select(F.col("node").alias("root"), "node").distinct(), ["root"], store)
+    return reached.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, store) -> DataFrame:
-    """node, depth by a frontier loop for graphs whose cycles or size a recursion can't bear.
+    """node, depth: the least depth at which a node is reached from any seed."""
+    return _reached(edges, seeds.select("node").distinct(), [], store)
+
+
+def _reached(edges: DataFrame, start: DataFrame, carried: list[str], store) -> DataFrame:
+    """The rows of start and all they lead to, with depth, by a frontier loop.
 
     Each round anti-joins what is already reached, so it ends when the frontier is empty, cycles included;
     store(df, name) writes a table in shared storage and reads it back, which cuts the lineage.
     """
-    reached = store(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
+    reached = store(start.withColumn("depth", F.lit(0)), "reached")
     frontier, depth = reached, 0
     while True:
         depth += 1
-        new = frontier.join(edges, F.col("parent") == F.col("node")).select(F.col("child").alias("node")).distinct().join(reached, "node", "left_anti").withColumn("depth", F.lit(depth))
+        new = frontier.join(edges, F.col("parent") == F.col("node")).select(*carried, F.col("child").alias("node")).distinct().join(reached, [*carried, "node"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = store(new, "frontier")
         if not frontier.limit(1).count():
             return reached

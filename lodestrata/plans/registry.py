@@ -230,8 +230,10 @@ EDGE_SQL = "SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FRO
 
 @query(f"WITH RECURSIVE e AS ({EDGE_SQL}), reach(root, node, depth) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region UNION ALL SELECT root, e.child, depth + 1 FROM reach JOIN e ON e.parent = node) SELECT root, depth, count(DISTINCT node) AS nodes FROM reach GROUP BY ALL", "region", "nation", "customer")
 def descendants_by_depth(region, nation, customer):
+    from ..scratch import store
+
     edges, roots = _containment(region, nation, customer)
-    return provenance.walk(region.sparkSession, edges, roots, 8).groupBy("root", "depth").agg(n("nodes"))
+    return provenance.walk(edges, roots, store).groupBy("root", "depth").agg(n("nodes"))
 
 
 FAIL_EDGES = "SELECT n_nationkey AS parent, (n_nationkey * 2 + 1) % 25 AS child FROM nation WHERE n_nationkey % 7 <> 0"

@@ -102,6 +102,25 @@ def test_triggers_and_security(spark):
     assert rows.where(security.may(F.col("role"), F.col("caps"), "write") != F.col("ok")).count() == 0
 
 
+def test_walk_has_no_row_or_depth_cap(spark):
+    from oracle import compare
+
+    from lodestrata.operators import provenance
+    from lodestrata.plans import registry
+    from lodestrata.scratch import store
+
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, "20")
+    try:
+        compare(spark, registry.QUERIES["descendants_by_depth"], registry.SQL["descendants_by_depth"], "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset(limit)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(34)] + [(100, 101), (101, 100)], "parent int, child int").coalesce(1)
+    roots = spark.createDataFrame([(0,), (100,), (20,)], "node int").coalesce(1)
+    want = {(0, i, i) for i in range(35)} | {(20, i, i - 20) for i in range(20, 35)} | {(100, 100, 0), (100, 101, 1)}
+    assert sorted(map(tuple, provenance.walk(edges, roots, store).collect())) == sorted(want)
+
+
 def test_streaming(spark, tmp_path):
     from lodestrata.streaming import tasks as st
 
