@@ -8,9 +8,11 @@ classes; the smallest id of a class stays.
 
 Inverse document frequency is ln(N / df) / ln(1 / FREQUENT), at most 1 and at least 0.05: a shingle in
 fewer than a twentieth of the documents weighs 1, so only a bounded list of frequent shingles (at most
-the mean shingle count / FREQUENT) has other weights. df counts over all documents; documents of a partition
-that share their least shingle hash count once, so a large group of copies doesn't make its own text
-look like a common phrase. Counting is lossy with an error of at most a quarter of FREQUENT.
+the mean shingle count / FREQUENT) has other weights. df and N count distinct word sequences of the whole corpus,
+exactly: partitions name the buckets of shingle hashes that can hold a frequent one, without losing any, and a second
+pass counts the shingles of those buckets. So df doesn't depend on how rows are dealt, and exact copies count once.
+In df, texts that consist of frequent shingles by SIMILARITY or more and share the least of them count once too, so a
+large group of near copies doesn't make its own text look like a common phrase; texts that share less all count.
 
 Equal word sequences are collapsed before banding. In each band bucket, every text is compared with up to
 five hubs, not with all others: the pairs grow in proportion to the bucket. Components join what hubs of
@@ -45,6 +47,8 @@ FREQUENT = 0.05
 LEAST_WEIGHT = 0.05
 #: The frequent list's largest size; shingles beyond it are those whose weight is nearest to 1.
 FREQUENT_ROWS = 1_000_000
+#: Bits of a shingle hash that tell its bucket while frequent shingles are looked for.
+BUCKET_BITS = 20
 #: Rounds of hubs after the first and before the exact search, and hubs of a bucket in each of them.
 ROUNDS, HUBS = 2, 8
 #: Shingles of an Arrow batch of the exact search.
@@ -71,6 +75,14 @@ def gamma_tables() -> tuple[np.ndarray, np.ndarray]:
     return _made[0], _made[1]
 
 
+def content_hash(data: np.ndarray, offsets: np.ndarray, i: int) -> bytes:
+    return hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes().strip(), digest_size=16).digest()
+
+
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48 - BUCKET_BITS)).astype(np.int64)
+
+
 class Shingles:
     """Distinct shingles of each text of a slice: 48-bit hash, count, and where each text's begin."""
 
@@ -99,7 +111,7 @@ class Shingles:
 
     def content(self, i: int) -> bytes:
         """Hash of the sequence of words of text i."""
-        return hashlib.blake2b(self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().strip(), digest_size=16).digest()
+        return content_hash(self.data, self.offsets, i)
 
 
 class Weights:
@@ -151,58 +163,100 @@ def band_keys(samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def _lossy(batches: Iterator[pa.RecordBatch], words: int, share: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles on at least share / 2 of the partition's documents, by lossy counting with error share / 4."""
-    keys, counts, slack = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    waiting: list[np.ndarray] = []
-    held, docs, pruned = 0, 0, 0
-    seen: set[int] = set()
-
-    def fold() -> None:
-        nonlocal keys, counts, slack, waiting, held, pruned
-        fresh, n = np.unique(np.concatenate(waiting) if waiting else np.zeros(0, np.uint64), return_counts=True)
-        every = np.union1d(keys, fresh)
-        total, late = np.zeros(len(every), np.int64), np.full(len(every), pruned, np.int64)
-        at = np.searchsorted(every, keys)
-        total[at] += counts
-        late[at] = slack
-        total[np.searchsorted(every, fresh)] += n
-        limit = int(share / 4 * docs)
-        keep = total + late > limit
-        keys, counts, slack = every[keep], total[keep], late[keep]
-        waiting, held, pruned = [], 0, limit
-
-    for part in slices(batches):
-        s = Shingles(text_of(part), words)
-        least = np.minimum.reduceat(mixed(s.hash), s.at[s.filled]) if len(s.filled) else []
-        own = []
-        for i, m in zip(s.filled.tolist(), np.asarray(least).tolist(), strict=True):
-            if m not in seen:
-                seen.add(m)
-                own.append(s.hash[s.at[i] : s.at[i + 1]])
-        docs += len(own)
-        waiting += own
-        held += sum(map(len, own))
-        if held > 500_000:
-            fold()
-    fold()
-    keep = (counts >= 2) & (counts + slack >= share / 2 * docs)
-    return keys[keep], counts[keep], docs
+def contents_of(docs: DataFrame) -> DataFrame:
+    """content, rows: the distinct word sequences and on how many rows each is."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            data, offsets = normalised(*lowered(text_of(part)))
+            found = [content_hash(data, offsets, i) for i in np.flatnonzero(np.diff(offsets)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["content"])
 
-def frequent_weights(docs: DataFrame, words: int = WORDS, share: float = FREQUENT) -> Weights:
-    """Weights of the shingles on at least `share` of all documents."""
+    return in_arrow(docs.select("text"), run, "content binary").groupBy("content").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def frequent_buckets(docs: DataFrame, least: float, words: int = WORDS) -> np.ndarray:
+    """Whether a bucket of shingle hashes (their first BUCKET_BITS bits) holds `least` of the rows of some partition.
+
+    A shingle on `least` of all rows is on as large a share of the rows of one partition at least, and its bucket counts no fewer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, n = _lossy(batches, words, share)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys.view(np.int64), -1)), pa.array(np.append(counts, n))], ["shingle", "n"])
+        held, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
+        for part in slices(batches):
+            s = Shingles(text_of(part), words)
+            held += np.bincount(bucket(s.hash), minlength=len(held))
+            n += len(s.filled)
+        found = np.flatnonzero((held > 0) & (held >= least * n * (1 - 1e-9)))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["bucket"])
+
+    out = np.zeros(1 << BUCKET_BITS, bool)
+    out[in_arrow(docs.select("text"), run, "bucket bigint").distinct().toPandas()["bucket"].to_numpy(np.int64)] = True
+    return out
+
+
+def bucket_shingles(docs: DataFrame, buckets: np.ndarray, words: int = WORDS) -> DataFrame:
+    """content, size, shingles: the distinct contents with a shingle in the given buckets, how many shingles each has, and those."""
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(buckets))
 
-    summed = stored(in_arrow(docs.select("text"), run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")), "df")
-    total = (summed.where("shingle = -1").first() or {"n": 0})["n"]
-    found = summed.where((F.col("shingle") != -1) & (F.col("n") >= max(2, share * total))).orderBy(F.desc("n"), "shingle").limit(FREQUENT_ROWS).toPandas()
-    df = found["n"].to_numpy(float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = np.unpackbits(wanted.value).astype(bool), set()
+        for part in slices(batches):
+            s = Shingles(text_of(part), words)
+            hit = np.flatnonzero(table[bucket(s.hash)])
+            doc, shingle = s.doc[hit], s.hash[hit].view(np.int64)
+            rows = []
+            for i in np.unique(doc).tolist():
+                content = s.content(i)
+                if content not in seen:
+                    seen.add(content)
+                    rows.append((content, int(s.at[i + 1] - s.at[i]), shingle[np.searchsorted(doc, i) : np.searchsorted(doc, i, "right")]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["content", "size", "shingles"])
+
+    found = in_arrow(docs.select("text"), run, "content binary, size bigint, shingles array<bigint>")
+    return found.groupBy("content").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+
+
+def frequent_counts(lists: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles on `least` of the (content, size, shingles) rows, and on how many each is."""
+    counts = lists.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    found = stored(counts.where(F.col("n") >= least), "df").orderBy(F.desc("n"), "shingle").limit(FREQUENT_ROWS).toPandas()
+    return found["shingle"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def copies_once(lists: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """The rows of lists, but one of those that consist of frequent shingles by SIMILARITY and share the least of them."""
+    known = lists.sparkSession.sparkContext.broadcast(np.sort(frequent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, kept = [], []
+            for i in range(batch.num_rows):
+                own = batch["shingles"][i].values.to_numpy()
+                own = own[np.isin(own, known.value, kind="sort")]
+                like = len(own) >= SIMILARITY * batch["size"][i].as_py()
+                keys.append(int(mixed(own.view(np.uint64)).min()).to_bytes(8, "big") if like else batch["content"][i].as_py())
+                kept.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch["content"], pa.array(kept, pa.list_(pa.int64()))], ["key", "content", "shingles"])
+
+    keyed = in_arrow(lists.select("content", "size", "shingles"), run, "key binary, content binary, shingles array<bigint>")
+    return keyed.groupBy("key").agg(F.min(F.struct("content", "shingles"))["shingles"].alias("shingles"))
+
+
+def frequent_weights(docs: DataFrame, words: int = WORDS, share: float = FREQUENT) -> Weights:
+    """Weights of the shingles on at least `share` of all distinct contents."""
+    sums = stored(contents_of(docs), "distinct").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).first()
+    total = sums["n"]
+    if not total:
+        return Weights(np.zeros(0, np.uint64), np.zeros(0))
+    # `share` of the contents is on this share of the rows at least.
+    lists = stored(bucket_shingles(docs, frequent_buckets(docs, share * total / sums["rows"], words), words), "frequent")
+    least = max(2, share * total)
+    found, df = frequent_counts(lists, least)
+    if len(found):
+        found, df = frequent_counts(copies_once(lists, found), least)
     weight = np.clip(np.log(np.maximum(total / np.maximum(df, 1), 1)) / np.log(1 / share), LEAST_WEIGHT, 1)
-    return Weights(found["shingle"].to_numpy(np.int64).view(np.uint64), weight)
+    return Weights(found.view(np.uint64), weight)
 
 
 def signatures(docs: DataFrame, weights, words: int = WORDS, samples: int = SAMPLES, rows: int = ROWS) -> DataFrame:

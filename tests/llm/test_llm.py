@@ -177,6 +177,24 @@ def test_near_dedup_brute_force(spark):
     assert all(share(i, c) > 0 for i, c in got.items())
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_frequent_shingles_are_counted_exactly(spark, parts):
+    """However rows are dealt, df is that of all distinct contents; texts that share their least shingle count each."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8)))
+    phrases = {share: " ".join(word() for _ in range(30)) for share in (0.04, 0.06, 0.08, 0.5)}
+    texts = []
+    for i in range(400):
+        own = [p for share, p in phrases.items() if i % 100 < 100 * share]
+        texts.append(" ".join([" ".join(word() for _ in range(15)), *own, " ".join(word() for _ in range(15))]))
+    rows = [(t,) for i, t in enumerate(texts) for _ in range(60 if i == 399 else 1)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "text string")
+    got = near_dedup.frequent_weights(docs)
+    df = collections.Counter(x for t in texts for x in near_dedup.Shingles(pa.array([t], pa.large_string())).hash.tolist())
+    want = {x: np.log(400 / n) / np.log(20) for x, n in df.items() if n >= 20}
+    assert len(want) > 70 and dict(zip(got.shingles.tolist(), got.weights.tolist(), strict=True)) == pytest.approx(want, abs=1e-6)
+
+
 def test_near_dedup_exact_search(spark):
     """Without any link known, the exact search leads to every similar pair of texts that share buckets."""
     rng = random.Random(5)
