@@ -5,7 +5,8 @@ n-grams, the longest length of which any is known, down to single characters. Th
 the posterior of the summed word scores, tempered so that no more than EVIDENCE words count.
 
 The model is fitted on a bounded sample of labelled documents: about SAMPLE_DOCS of each language, chosen by
-hash, none longer than SAMPLE_CHARS, equal texts once; WORDS and GRAMS bound its size.
+hash over all lengths, equal texts once; of a longer text the first SAMPLE_CHARS characters count, taken between its
+letters, so that a long lead without words doesn't hide a language. WORDS and GRAMS bound the model's size.
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so is everything if
 nothing was learnt; ties go to the first language in order; repeated rows get repeated results.
@@ -128,7 +129,7 @@ class Scorer:
 
 def train(docs: DataFrame) -> Model:
     """Learn from text and non-null lang of documents that aren't held out."""
-    learn = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS) & (F.length("text") > 0))
+    learn = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -136,7 +137,9 @@ def train(docs: DataFrame) -> Model:
         return Model([])
     each = max(1, min(SAMPLE_DOCS, 20 * SAMPLE_DOCS // len(counts)))
     fractions = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, ld_fraction double")
-    rows = learn.join(F.broadcast(fractions), "lang").where(sampled(F.col("ld_fraction"), "doc_id")).select("lang", "text").distinct().toArrow()
+    lead = F.substring(F.regexp_replace("text", r"[^\p{L}\p{Nl}\p{No}]+", " "), 1, SAMPLE_CHARS)
+    text = F.when(F.length("text") > SAMPLE_CHARS, lead).otherwise(F.col("text")).alias("text")
+    rows = learn.join(F.broadcast(fractions), "lang").where(sampled(F.col("ld_fraction"), "doc_id")).select("lang", text).distinct().toArrow()
     return Model(sorted(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True)))
 
 

@@ -195,6 +195,13 @@ def test_frequent_shingles_are_counted_exactly(spark, parts):
     assert len(want) > 70 and dict(zip(got.shingles.tolist(), got.weights.tolist(), strict=True)) == pytest.approx(want, abs=1e-6)
 
 
+def test_frequent_shingles_beyond_the_bound_raise(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FREQUENT_ROWS", 5)
+    docs = spark.createDataFrame([(f"a common phrase of rather many words that all the texts hold here {i} x",) for i in range(20)], "text string").coalesce(1)
+    with pytest.raises(ValueError, match="frequent shingles"):
+        near_dedup.frequent_weights(docs)
+
+
 def test_near_dedup_exact_search(spark):
     """Without any link known, the exact search leads to every similar pair of texts that share buckets."""
     rng = random.Random(5)
@@ -280,6 +287,15 @@ def test_language_id(spark):
     assert scorer.score("the")[0] == "en" and scorer.score("hausz")[0] == "de"
 
 
+def test_language_of_long_documents_only_is_learnt(spark):
+    rows = [(i, "the house is old and the road is long", "en") for i in range(20)] + [(i, "1 " * 15_000 + "das haus ist alt " * 2_000, "de") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1)
+    model = langid.train(docs)
+    assert model.languages == ["de", "en"] and langid.Scorer(model).score("das haus ist alt")[0] == "de"
+    taken = spark.createDataFrame([(1, "eins zwei " * 50_000, "de")], "doc_id bigint, text string, lang string")
+    assert set(langid.train(taken).words) >= {"eins", "zwei"}
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["ba", "ko", "ti", "lu", "me", "sa", "ro"]) for _ in range(rng.randint(1, 4)))
