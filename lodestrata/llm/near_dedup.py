@@ -45,7 +45,7 @@ SIMILARITY = 0.8
 SAMPLES, ROWS = 16, 2
 FREQUENT = 0.05
 LEAST_WEIGHT = 0.05
-#: The frequent list's largest size; shingles beyond it are those whose weight is nearest to 1.
+#: The frequent list's largest size; a longer list raises.
 FREQUENT_ROWS = 1_000_000
 #: Bits of a shingle hash that tell its bucket while frequent shingles are looked for.
 BUCKET_BITS = 20
@@ -220,7 +220,10 @@ def bucket_shingles(docs: DataFrame, buckets: np.ndarray, words: int = WORDS) ->
 def frequent_counts(lists: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Shingles on `least` of the (content, size, shingles) rows, and on how many each is."""
     counts = lists.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    found = stored(counts.where(F.col("n") >= least), "df").orderBy(F.desc("n"), "shingle").limit(FREQUENT_ROWS).toPandas()
+    listed = stored(counts.where(F.col("n") >= least), "df")
+    if listed.count() > FREQUENT_ROWS:
+        raise ValueError(f"more than {FREQUENT_ROWS} frequent shingles")
+    found = listed.toPandas()
     return found["shingle"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
