@@ -6,15 +6,18 @@ non-ASCII bytes, compared after Unicode lower-casing. Null texts count as empty
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard, scratch_dir  # noqa: F401
+from ..scratch import store as stored
+
 #: Bytes of text handled at once in a Python worker; a longer single text is handled alone.
 SLICE_BYTES = 1 << 20
 #: Rows up to which a list of keys is broadcast; beyond it, the join shuffles.
@@ -34,30 +37,7 @@ for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
 _powers: dict[str, np.ndarray] = {}
 
 
-# --------------------------------------------------------------------------- tables in the shared folder
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            base = jvm_dir.get()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later reads survive lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+# --------------------------------------------------------------------------- tables
 
 def keyed_filter(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     """Semi or anti join with a list of keys that is already stored; broadcast only if its counted size is bounded."""
@@ -84,14 +64,23 @@ def fresh(df: DataFrame, name: str) -> str:
 
 # --------------------------------------------------------------------------- Arrow text
 
+def byte_size(value: str) -> int:
+    """Bytes of a setting such as 8388608, 64m or 1g."""
+    m = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", value.strip().lower())
+    if not m:
+        raise ValueError(f"not a size: {value}")
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ")
+
+
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema) in batches of bounded bytes; a worker gives freed memory back after each partition.
 
-    Workers are reused, so what one partition's caches leave in the allocators would stay beside the next one's.
+    The bound on batches is a setting of the session: it is lowered where it is larger or unbounded. Workers are
+    reused, so what one partition's caches leave in the allocators would stay beside the next one's.
     """
-    spark = df.sparkSession
-    if int(spark.conf.get(ARROW_BYTES)[:-1] if spark.conf.get(ARROW_BYTES)[-1:] in "bB" else spark.conf.get(ARROW_BYTES)) > BATCH_BYTES:
-        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    conf = df.sparkSession.conf
+    if not 0 < byte_size(conf.get(ARROW_BYTES)) <= BATCH_BYTES:
+        conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

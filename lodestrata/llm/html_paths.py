@@ -7,7 +7,7 @@ article share a few paths, so short paragraphs stand or fall with their path, ne
 
 Marks are bounded factors of that score, and the threshold selects in every case: MAIN inside a marked main
 element (article, main), BOILER for each of up to two nested marks of boilerplate (navigation, footers, asides,
-forms, notices, adverts, comment sections), BESIDE for unmarked blocks in the container or marked element of the
+forms, notices, adverts, comment sections; weaker for names that only hold such a word, or words of topics), BESIDE for unmarked blocks in the container or marked element of the
 strongest path. So a long text outside a teaser's article, or under a wrapper whose class
 names a sidebar, stays. Only what isn't displayed (scripts, hidden elements) never counts.
 
@@ -53,7 +53,7 @@ CELL_SCOPE = frozenset("ul ol dl table select menu".split())
 INLINE_FORMAT = frozenset("a b big code em font i nobr s small strike strong tt u span".split())
 
 #: Elements, roles and class or id words that mark what isn't main text.
-BOILER_TAGS = frozenset("nav footer aside form button select dialog menu input label fieldset search".split())
+BOILER_TAGS = frozenset("nav footer aside form button select dialog menu input fieldset search".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu "
@@ -61,51 +61,61 @@ BOILER_WORDS = frozenset(
     "subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies reply "
     "pagination pager widget toolbar masthead sitenav skip skiplink toc copyright legal disclaimer paywall".split()
 )
-MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
+#: Words among them that also name topics.
+WEAK_WORDS = frozenset("copyright disclaimer legal promotion recommended related replies reply respond social".split())
 KEEP_HEADER_IN = frozenset(("article", "main"))
 
 #: Factors of the score; HIDDEN stands for elements that aren't displayed, in place of a number of boilerplate marks.
 MAIN, BOILER, BESIDE = 3.0, 1 / 6, 3.0
-DEEPEST, HIDDEN = 2, 3
+DEEPEST, HIDDEN = 2.0, 3.0
+#: What a weak mark counts, as a share of a mark: about a half as a factor, so that prose outweighs it.
+WEAK = 0.4
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(text)}
 
 
-def _kind(tag: str, attrs: str, in_main: bool) -> tuple[str, int, bool]:
-    """Path step, 1 for boilerplate or HIDDEN or 0, whether it is the page's main element."""
+def _name_mark(words: list[str]) -> float:
+    """Mark of one class or id name by its words: 1 if they mostly mark boilerplate, WEAK if some do, else 0."""
+    strong = sum(w in BOILER_WORDS and w not in WEAK_WORDS for w in words)
+    return 1.0 if strong and 2 * strong >= len(words) else WEAK if any(w in BOILER_WORDS for w in words) else 0.0
+
+
+def _kind(tag: str, attrs: str, in_main: bool) -> tuple[str, float, bool]:
+    """Path step, mark of boilerplate (1, WEAK or 0) or HIDDEN, whether it is the page's main element."""
     found = _attributes(attrs) if attrs and not attrs.isspace() else {}
-    words = [w for key in ("class", "id") for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get(key, "")).lower()) if w]
+    names = [[w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w] for key in ("class", "id") for name in found.get(key, "").split()]
+    words = [w for name in names for w in name]
     role = found.get("role", "").lower()
     boiler = (
         tag in BOILER_TAGS
         or (tag == "header" and not in_main)
         or role in BOILER_ROLES
         or found.get("aria-hidden", "").lower() == "true"
-        or (tag not in ("html", "body", "article", "main") and any(w in BOILER_WORDS for w in words))
     )
-    main = not boiler and (tag in KEEP_HEADER_IN or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody")
+    mark = 1.0 if boiler else max(map(_name_mark, names), default=0.0) if tag not in ("html", "body", "article", "main") else 0.0
+    main = mark < 1 and (tag in KEEP_HEADER_IN or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody")
     step = tag + ("." + words[0] if words and tag not in INLINE_FORMAT else "")
     if "hidden" in found or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()):
         return step, HIDDEN, False
-    return step, int(boiler), main
+    return step, mark, main
 
 
 class _Block:
     __slots__ = ("path", "parts", "linked", "boiler", "main")
 
-    def __init__(self, path: tuple[str, ...], boiler: int, main: bool):
+    def __init__(self, path: tuple[str, ...], boiler: float, main: bool):
         self.path, self.parts, self.linked, self.boiler, self.main = path, [], 0, boiler, main
 
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.parts)).strip()
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int, bool]]:
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, float, bool]]:
     """Blocks of text in page order: path, text, characters in links, boilerplate marks, inside a main element."""
     # Each open element: tag, step, is block, boilerplate marks at and above, main at or above.
-    stack: list[tuple[str, str, bool, int, bool]] = []
+    stack: list[tuple[str, str, bool, float, bool]] = []
     out: list[_Block] = []
     current: _Block | None = None
     links = 0
@@ -118,7 +128,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int, bool]]:
                 return
             top = stack[-1] if stack else None
             path = tuple(s[1] for s in stack if s[0] not in INLINE_FORMAT)
-            current = _Block(path, top[3] if top else 0, bool(top and top[4]))
+            current = _Block(path, top[3] if top else 0.0, bool(top and top[4]))
             out.append(current)
         current.parts.append(text)
         if links:
@@ -191,7 +201,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int, bool]]:
             current = None
         elif tag == "a":
             close({"a"}, BLOCK)
-        above_boiler, above_main = (stack[-1][3], stack[-1][4]) if stack else (0, False)
+        above_boiler, above_main = (stack[-1][3], stack[-1][4]) if stack else (0.0, False)
         step, boiler, main = _kind(tag, attrs, above_main)
         marks = HIDDEN if HIDDEN in (boiler, above_boiler) else min(above_boiler + boiler, DEEPEST)
         if marks > above_boiler:
@@ -228,7 +238,7 @@ def path_scores(found: list, window: int = 2) -> tuple[np.ndarray, np.ndarray]:
     prose = 1 - (path_links / np.maximum(1, path_length))[path]
     # Lengths span orders of magnitude and factors don't, so they meet on a logarithmic scale.
     fused = np.sqrt(np.log1p(ratio) * np.log1p(smooth)) * np.log1p(punctuated) * prose
-    fused *= np.where(marked, MAIN, 1.0) * np.where(boiler == HIDDEN, 0.0, BOILER ** boiler.astype(float))
+    fused *= np.where(marked, MAIN, 1.0) * np.where(boiler == HIDDEN, 0.0, BOILER**boiler)
     if fused.any():
         mean = np.bincount(path, fused * length) / np.maximum(1, path_length)
         strongest = int(np.flatnonzero(path == np.argmax(mean * np.log1p(path_length)))[0])
