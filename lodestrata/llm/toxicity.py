@@ -32,13 +32,13 @@ SAMPLE_DOCS = 8000
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 17
 DIMENSIONS = 6
-WINDOW = 32
+WINDOW = 8
 GAIN = 16.0
 THRESHOLD = 0.3
 EPOCHS = 7
-STEPS = 600
+STEPS = 3000
 RATE = 0.1
-DECAY = 2e-4
+DECAY = 2e-6
 #: Documents of the sample that a subword must occur in to be learnt.
 MIN_DOCS = 4
 WORD = re.compile(r"[^\W_]+")
@@ -121,6 +121,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5, epochs: int
     bias = np.zeros(2, np.float32)
     seen_e, seen_w, seen_b = np.full(embedding.shape, 1e-6, np.float32), np.full(softmax.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     touched = np.zeros(BUCKETS, bool)
+    summed, summed_bias, n_summed = np.zeros(BUCKETS), 0.0, 0
 
     def word_logits() -> np.ndarray:
         per = GAIN * (embedding @ (softmax[:, 1] - softmax[:, 0]))
@@ -167,8 +168,13 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5, epochs: int
             seen_b += grad_b**2
             bias -= RATE * grad_b / np.sqrt(seen_b)
             touched[unique] = True
-    weight = np.where(touched, GAIN * (embedding @ (softmax[:, 1] - softmax[:, 0])), 0).astype(np.float32)
-    model = Model(weight, float(bias[1] - bias[0]), 1.0, 0.0)
+        if epoch >= epochs // 2:
+            summed += GAIN * (embedding @ (softmax[:, 1] - softmax[:, 0]))
+            summed_bias += float(bias[1] - bias[0])
+            n_summed += 1
+    # The mean over the later epochs depends less on what was drawn last.
+    weight = np.where(touched, summed / n_summed, 0).astype(np.float32)
+    model = Model(weight, summed_bias / n_summed, 1.0, 0.0)
     w = np.add.reduceat(weight[flat_subs], at[:-1]) / size
     held = [d for d in range(len(docs)) if calibrating[d]] or list(range(len(docs)))
     if len({int(y[d]) for d in held}) < 2:
@@ -199,8 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs:
     n = learn.count()
     chosen = learn.where(sampled(min(1.0, sample_docs / max(1, n)), "doc_id"))
     texts = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").toArrow()
-    rows = sorted(set(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), rows["label"].to_pylist(), strict=True)))
+    # Ids that repeat can't swell the sample: it ends at twice its size, in the order of a hash.
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").distinct()
+    rows = found.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(2 * sample_docs).toArrow()
+    rows = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), rows["label"].to_pylist(), strict=True))
     return fit([r[1] for r in rows], [int(r[2] > 0) for r in rows])
 
 
