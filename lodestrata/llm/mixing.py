@@ -96,17 +96,38 @@ def fill(sizes: np.ndarray, rows: np.ndarray, room: float) -> np.ndarray:
             take[i] = True
             left -= total[i]
     items = np.concatenate([np.flatnonzero(take)[-10:], np.flatnonzero(~take)[:14]])
-    want = round(left + total[items[take[items]]].sum()) if len(items) else 0
-    sums = [1]  # bit s of the last one: some subset of the items so far has s words
-    for i in items:
-        sums.append(sums[-1] | sums[-1] << int(total[i]))
-    best = next((s for d in range(want + 1) for s in (want - d, want + d) if sums[-1] >> s & 1), 0)
-    for i, before in zip(items[::-1], sums[-2::-1], strict=True):
-        take[i] = not before >> best & 1
-        best -= int(total[i]) * bool(take[i])
+    if len(items):
+        want = round(left + total[items[take[items]]].sum())
+        take[items] = nearest_subset(total[items], want)
     return take
 
 
+def nearest_subset(sizes: np.ndarray, want: int) -> np.ndarray:
+    """Which of up to about thirty sizes sum nearest to the wanted one, exactly: each half's subset sums meet in the middle.
+
+    Time and memory follow the number of sizes, not their magnitude. Of equally near sums the lesser is taken.
+    """
+
+    def sums(part: np.ndarray) -> np.ndarray:
+        out = np.zeros(1, np.int64)
+        for x in part:
+            out = np.concatenate([out, out + int(x)])  # bit i of an index: entry i is in
+        return out
+
+    half = len(sizes) // 2
+    low, high = sums(sizes[:half]), sums(sizes[half:])
+    order = np.argsort(low, kind="stable")
+    at = np.searchsorted(low[order], want - high)
+    best = None
+    for slot in (np.maximum(at - 1, 0), np.minimum(at, len(low) - 1)):
+        got = low[order[slot]] + high
+        k = int(np.lexsort((got, np.abs(got - want)))[0])
+        found = (abs(int(got[k]) - want), int(got[k]), int(order[slot[k]]), k)
+        best = min(best, found) if best else found
+    bits = best[2] | best[3] << half
+    return np.array([bits >> i & 1 == 1 for i in range(len(sizes))], bool)
+
+
 class Mix:
     """The plan of a mix over stored sizes; see documents() and rows()."""
 
@@ -170,11 +191,12 @@ class Mix:
 
     def documents(self) -> DataFrame:
         """doc_id, source, size, source_size, target, copies, taken for every document."""
-        placed = self._placed(self.sizes)
-        with_block = placed.join(self._bounded(self.blocks.select("sid", "block", "whole"), self.n_blocks), ["sid", "block"])
+        # How often the splitting tree's shards draw each block, and whether one draws it for its picked documents only.
+        drawn = self.draws().groupBy("sid", "block").agg(F.count_if(~F.col("edge")).cast("int").alias("draws"), F.max("edge").alias("edge"))
+        with_block = self._placed(self.sizes).join(self._bounded(stored(drawn, "draws"), self.n_blocks), ["sid", "block"], "left")
         picked = self._bounded(self.picks.withColumn("picked", F.lit(1)).distinct(), self.n_blocks)
         out = with_block.join(picked, ["sid", "block", "h"], "left")
-        copies = F.col("full") + F.when(F.col("whole") | F.col("picked").isNotNull(), 1).otherwise(0)
+        copies = F.coalesce("draws", F.lit(0)) + F.when(F.col("edge") & F.col("picked").isNotNull(), 1).otherwise(0)
         return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
     def draws(self) -> DataFrame:
@@ -213,7 +235,7 @@ class Mix:
         picks = self.picks.distinct().select(F.col("sid").alias(sid), F.col("block").alias(block), F.col("h").alias(h), F.lit(1).alias(picked))
         drawn = placed.join(self._bounded(draws, 2 * self.n_blocks), [sid, block]).join(self._bounded(picks, self.n_blocks), [sid, block, h], "left")
         drawn = drawn.where(~F.col(edge) | F.col(picked).isNotNull()).withColumn(order, F.xxhash64(F.lit(self.seed + 3), i, copy, h))
-        return drawn.repartition(self.shards, shard).sortWithinPartitions(shard, order, i).select(*self.docs.columns, shard, copy)
+        return drawn.repartitionById(self.shards, F.col(shard)).sortWithinPartitions(shard, order, i).select(*self.docs.columns, shard, copy)
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
