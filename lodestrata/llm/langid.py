@@ -5,7 +5,7 @@ n-grams, the longest length of which any is known, down to single characters. Th
 the posterior of the summed word scores, tempered so that no more than EVIDENCE words count.
 
 The model is fitted on a bounded sample of labelled documents: about SAMPLE_DOCS of each language, chosen by
-hash over all lengths, equal texts once; of a longer text the first SAMPLE_CHARS characters count, taken between its
+hash of the text over all lengths, equal texts once; of a longer text the first SAMPLE_CHARS characters count, taken between its
 letters, so that a long lead without words doesn't hide a language. WORDS and GRAMS bound the model's size.
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so is everything if
@@ -33,10 +33,18 @@ LONGEST = 4
 EVIDENCE = 20
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 120_000
 
 
+def letters() -> re.Pattern:
+    """Runs of letters: word characters that are neither digits nor other number characters (superscripts, fractions, numerals)."""
+    odd = [c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(odd)}]+")
+
+
+WORD = letters()
+
+
 class Model:
     def __init__(self, samples: Iterable[tuple[str, str]]):
         """samples: (language, text)."""
@@ -137,9 +145,9 @@ def train(docs: DataFrame) -> Model:
         return Model([])
     each = max(1, min(SAMPLE_DOCS, 20 * SAMPLE_DOCS // len(counts)))
     fractions = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, ld_fraction double")
-    lead = F.substring(F.regexp_replace("text", r"[^\p{L}\p{Nl}\p{No}]+", " "), 1, SAMPLE_CHARS)
+    lead = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, SAMPLE_CHARS)
     text = F.when(F.length("text") > SAMPLE_CHARS, lead).otherwise(F.col("text")).alias("text")
-    rows = learn.join(F.broadcast(fractions), "lang").where(sampled(F.col("ld_fraction"), "doc_id")).select("lang", text).distinct().toArrow()
+    rows = learn.join(F.broadcast(fractions), "lang").where(sampled(F.col("ld_fraction"), "text")).select("lang", text).distinct().toArrow()
     return Model(sorted(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True)))
 
 
