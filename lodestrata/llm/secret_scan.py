@@ -2,12 +2,14 @@
 
 Candidates are found in each whole text: the base kinds (assign, access, hex) and further kinds of
 token. The values' hashes are aggregated over the corpus by distinct repositories and distinct owners. A value
-of several owners is a widely copied example; a value of one owner that looks random is taken for live.
+of several owners, or of more than LIVE_REPOS repositories of one owner (a template's), is a widely copied
+example; another value that looks random is taken for live.
 Base spans are always reported; a span of a further kind only if its value is live and it doesn't lie in a
 base span. Each document also gets its counts of live and of example values.
 
 Counting is two-level (per value and owner, then per value), so a value that is copied into a third of all
-documents is pre-aggregated where it is read.
+documents is pre-aggregated where it is read. Values on a HEAVY-th of all candidates or more, at most HEAVY of them,
+meet their candidates by a broadcast; the others shuffle.
 
 Defined results: null and empty texts have no spans; a null owner or repository counts as one of its own; repeated
 rows get repeated results and count once per repository; an empty table gives an empty result.
@@ -44,9 +46,11 @@ FURTHER = {
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
 }
 KINDS = (*BASE, *FURTHER)
-#: Bits a character at least, and owners at most, of a live value.
+#: Bits a character at least, owners and repositories at most, of a live value.
 LIVE_ENTROPY = 3.0
-LIVE_OWNERS = 1
+LIVE_OWNERS, LIVE_REPOS = 1, 20
+#: Values that a HEAVY-th of all candidates hold are joined by a broadcast.
+HEAVY = 1024
 
 
 def entropy(value: str) -> float:
@@ -108,25 +112,34 @@ def candidates(docs: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, repos, owners: distinct repositories and owners of each value, nulls as one each."""
-    each = found.select(F.explode("found.value").alias("value"), "repo", "owner").distinct()
-    per_owner = each.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return per_owner.groupBy("value").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
+    """value, repos, owners, n: distinct repositories and owners of each value, nulls as one each, and its candidates."""
+    each = found.select(F.explode("found.value").alias("value"), "repo", "owner").groupBy("value", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
+    per_owner = each.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return per_owner.groupBy("value").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"), F.sum("n").alias("n"))
 
 
-def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
+def with_owners(exploded: DataFrame, owners: DataFrame) -> DataFrame:
+    """Candidates with their value's repos and owners; a value that many hold doesn't shuffle."""
+    least = (owners.agg(F.sum("n").alias("n")).first()["n"] or 0) / HEAVY
+    heavy = owners.where(F.col("n") >= least).drop("n")
+    light = exploded.join(F.broadcast(heavy.select("value")), "value", "left_anti").join(owners.where(F.col("n") < least).drop("n"), "value")
+    return exploded.join(F.broadcast(heavy), "value").unionByName(light)
+
+
+def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", live_owners: int = LIVE_OWNERS, live_repos: int = LIVE_REPOS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example for every document."""
     scanned = candidates(docs, repo_col, owner_col)
     owners = stored(ownership(scanned), "owners")
     plain = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
     exploded = scanned.where(F.size("found") > 0).select("row", *plain, F.explode("found").alias("x")).select("row", *plain, "x.*")
-    judged = exploded.join(owners, "value").withColumn("live", F.col("random") & (F.col("owners") <= live_owners))
+    copied = (F.col("owners") > live_owners) | (F.col("repos") > live_repos)
+    judged = with_owners(exploded, owners).withColumn("example", copied).withColumn("live", F.col("random") & ~copied)
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     shown = F.when(F.col("base") | F.col("live"), F.struct("start", rank.alias("rank"), F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("span")))
     per_row = judged.groupBy("row", *plain).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["span"]), ",").alias("spans"),
         F.count_if("live").alias("n_live"),
-        F.count_if(F.col("owners") > live_owners).alias("n_example"),
+        F.count_if("example").alias("n_example"),
     )
     quiet = scanned.where(F.size("found") == 0).select(*plain, F.lit("").alias("spans"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_example"))
     return quiet.unionByName(per_row.drop("row"))
