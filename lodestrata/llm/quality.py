@@ -5,7 +5,7 @@ counts of vote patterns of the whole corpus (at most 3 ** labellers of them) est
 and gives each pattern a posterior. Posterior labels train a linear scorer over hashed byte 4-grams and coarse
 statistics, which then scores every whole text.
 
-The scorer is fitted on a bounded sample: about SAMPLE_DOCS documents chosen by hash, none longer than
+The scorer is fitted on a bounded sample: about SAMPLE_DOCS distinct texts chosen by their hash, none longer than
 SAMPLE_BYTES. Votes, patterns and posteriors cover all documents.
 
 Defined results: null, empty and wordless texts are bad (score 0, label 0); repeated rows count and score
@@ -230,8 +230,9 @@ def classify_quality(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
     votes = vote_table(docs)
     post, _ = posteriors(votes)
     n = votes.count()
-    chosen = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES) & sampled(min(1.0, sample_docs / max(1, n)), "doc_id")).toArrow()
-    texts = sorted(set(chosen["text"].to_pylist()))
+    # By the text's own hash and distinct, so that neither null or repeated ids nor copies swell the sample.
+    chosen = docs.select("text").where(F.octet_length("text").between(1, SAMPLE_BYTES) & sampled(min(1.0, sample_docs / max(1, n)), "text")).distinct()
+    texts = sorted(chosen.toArrow()["text"].to_pylist())
     stats = [Statistics(pa.array(texts[lo : lo + 256], pa.large_string())).votes() for lo in range(0, len(texts), 256)]
     labels = [post.get("".join("-0+"[v + 1] for v in row), 0.5) for part in stats for row in part.tolist()]
     shared = spark.sparkContext.broadcast((fit_scorer(texts, np.array(labels)), post))
