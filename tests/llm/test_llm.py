@@ -142,7 +142,7 @@ def test_decontamination_brute_force():
     class Bc:
         value = index
 
-    _, got = decontam._found(part, [Bc])
+    got = decontam._found(part, Bc)
     clean = lambda s: " ".join(re.findall(r"[a-z]+", s))
     for text, hits in zip(texts, got, strict=True):
         want = {}
@@ -334,14 +334,15 @@ def test_secrets(spark):
 def test_token_counts_equal_the_library(spark, bytes_):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    v = token_count.load_vocabulary()
-    if not bytes_:
-        v = [(p, s) for p, s in v if not p.startswith("<0x")]
+    pieces, has_bytes = token_count.load_vocabulary()
+    assert has_bytes and not {"<s>", "</s>", "<unk>", "<0x0A>"} & {p for p, _ in pieces}
+    v = [("<unk>", 0.0), *pieces, *((f"<0x{b:02X}>", 0.0) for b in range(256 * bytes_))]
     t = Tokenizer(models.Unigram(v, unk_id=0, byte_fallback=bytes_))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    texts = [r.text for r in table(spark, "documents").collect()] + ["", " ", "  a  b", "\n\n", "▁▁a", "日本語🙂🙂 x́", "<0x0A> <s>", "a" * 50, "é" * 9]
-    counter = token_count.Counter(v)
+    texts = [r.text for r in table(spark, "documents").collect()] + ["", " ", "  a  b", "\n\n", "▁▁a", "日本語🙂🙂 x́", "a" * 500, "é" * 9, "日本" * 300]
+    counter = token_count.Counter(pieces, bytes_)
     assert [counter.text(x) for x in texts] == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert counter.text("<s> hello") > counter.text("hello") + 1  # a control piece is plain text
 
 
 def test_quality(spark):
