@@ -36,13 +36,16 @@ UNKNOWN = "und"
 _CACHE = 120_000
 
 
-def letters() -> re.Pattern:
-    """Runs of letters: word characters that are neither digits nor other number characters (superscripts, fractions, numerals)."""
-    odd = [c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
-    return re.compile(rf"[^\W\d_{''.join(odd)}]+")
+RUN = re.compile(r"[^\W\d_]+")
+#: Runs of letters only: neither superscripts, fractions nor numerals, which RUN takes for letters.
+LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())}]+")
 
 
-WORD = letters()
+def words_of(text: str) -> list[str]:
+    words = RUN.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in LETTERS.findall(w)]
 
 
 class Model:
@@ -50,7 +53,7 @@ class Model:
         """samples: (language, text)."""
         words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in samples:
-            words[lang].update(WORD.findall(text.lower()))
+            words[lang].update(words_of(text))
         self.languages = sorted(lang for lang in words if words[lang])
         n = len(self.languages)
         total: Counter = Counter()
@@ -108,7 +111,7 @@ class Scorer:
         self.filled = len(self.rows)
 
     def score(self, text: str) -> tuple[str, float]:
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         index = self.index
