@@ -16,10 +16,11 @@ large group of near copies doesn't make its own text look like a common phrase;
 
 Equal word sequences are collapsed before banding. In each band bucket, every text is compared with up to
 five hubs, not with all others: the pairs grow in proportion to the bucket. Components join what hubs of
-different bands link. In the buckets that then hold several classes, up to ROUNDS further rounds compare texts with
-fresh hubs of other classes. What hubs leave is found exactly: among the texts of buckets that still hold several
+different bands link. What hubs leave is found exactly: among the texts of buckets that still hold several
 classes, a prefix filter gives every pair of different classes that can reach the threshold. So no similar pair
-that shares a bucket ends in two classes. Pairs whose total weights differ by more than the threshold allows
+that shares a bucket ends in two classes. The filter's bound is that of each pair, from both total weights. ROUNDS of
+one partner for each text and shingle merge classes first; then texts that can't meet the bound on a shingle
+with any text of another class leave, and the pairs of the rest are formed. Pairs whose total weights differ by more than the threshold allows
 are left out unseen, as their similarity can't reach it.
 
 Defined results: null and wordless texts and null ids are classes of their own; repeated rows share a class;
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, keyed_filter, lowered, mixed, normalised, prefix_hash, slices, span_hash, stored, text_of, word_spans
+from .common import discard, in_arrow, keyed_filter, lowered, mixed, normalised, prefix_hash, slices, span_hash, stored, text_of, word_spans
 from .components import components
 
 WORDS = 5
@@ -49,10 +50,16 @@ LEAST_WEIGHT = 0.05
 FREQUENT_ROWS = 1_000_000
 #: Bits of a shingle hash that tell its bucket while frequent shingles are looked for.
 BUCKET_BITS = 20
-#: Rounds of hubs after the first and before the exact search, and hubs of a bucket in each of them.
-ROUNDS, HUBS = 2, 8
+#: Rounds of one partner for each text and shingle, before all pairs of the exact search.
+ROUNDS = 2
+#: Distinct shingles that are counted in a task before their counts move on.
+FLUSH = 1_000_000
+#: Members of a bucket that meet its hubs in one task.
+DEAL = 256
 #: Shingles of an Arrow batch of the exact search.
 CHUNK = 100_000
+#: What rounding may take from a bound.
+SLACK = 1e-5
 
 _LOW16, _U16, _U32, _U48 = np.uint64(0xFFFF), np.uint64(16), np.uint64(32), np.uint64(48)
 
@@ -219,7 +226,21 @@ def bucket_shingles(docs: DataFrame, buckets: np.ndarray, words: int = WORDS) ->
 
 def frequent_counts(lists: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Shingles on `least` of the (content, size, shingles) rows, and on how many each is."""
-    counts = lists.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            own = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            for at in range(0, len(own), FLUSH):
+                shingles, back = np.unique(np.concatenate([held, own[at : at + FLUSH]]), return_inverse=True)
+                held_n = np.bincount(back, np.concatenate([held_n, np.ones(len(back) - len(held_n), np.int64)]), len(shingles)).astype(np.int64)
+                held = shingles
+                if len(held) > FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(held_n)], ["shingle", "n"])
+                    held, held_n = held[:0], held_n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(held_n)], ["shingle", "n"])
+
+    counts = in_arrow(lists.select("shingles"), run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     listed = stored(counts.where(F.col("n") >= least), "df")
     if listed.count() > FREQUENT_ROWS:
         raise ValueError(f"more than {FREQUENT_ROWS} frequent shingles")
@@ -248,7 +269,7 @@ def copies_once(lists: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 def frequent_weights(docs: DataFrame, words: int = WORDS, share: float = FREQUENT) -> Weights:
     """Weights of the shingles on at least `share` of all distinct contents."""
-    sums = stored(contents_of(docs), "distinct").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).first()
+    sums = contents_of(docs).agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).first()
     total = sums["n"]
     if not total:
         return Weights(np.zeros(0, np.uint64), np.zeros(0))
@@ -258,6 +279,7 @@ def frequent_weights(docs: DataFrame, words: int = WORDS, share: float = FREQUEN
     found, df = frequent_counts(lists, least)
     if len(found):
         found, df = frequent_counts(copies_once(lists, found), least)
+    discard(lists)
     weight = np.clip(np.log(np.maximum(total / np.maximum(df, 1), 1)) / np.log(1 / share), LEAST_WEIGHT, 1)
     return Weights(found.view(np.uint64), weight)
 
@@ -310,7 +332,11 @@ def candidate_pairs(shared: DataFrame) -> DataFrame:
         F.min(F.struct(other.alias("h"), "content"))["content"].alias("low2"),
         F.max(F.struct(other.alias("h"), "content"))["content"].alias("high2"),
     )
-    joined = shared.select("band", "key", "content").join(hubs, ["band", "key"])
+    # A large bucket is dealt to several tasks, and its hubs go to each of them.
+    largest = shared.groupBy("band", "key").agg(F.first("members").alias("members"))
+    dealt = hubs.join(largest, ["band", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("members") / DEAL).cast("int")))).drop("members")
+    part = F.pmod(F.xxhash64("content"), F.floor(F.col("members") / DEAL) + 1).cast("int")
+    joined = shared.select("band", "key", "content", part.alias("part")).join(dealt, ["band", "key", "part"])
     met = joined.select("content", F.explode(F.array_distinct(F.array("p", "low", "high", "low2", "high2"))).alias("hub")).where("content <> hub")
     return met.select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
 
@@ -321,16 +347,6 @@ def classed_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.withColumn("label", F.coalesce("label", "content"))
 
 
-def further_pairs(shared: DataFrame, labels: DataFrame, salt: int, hubs: int = HUBS) -> DataFrame:
-    """Distinct pairs a < b of different classes: members of a bucket of several classes with its hubs of this round."""
-    placed = classed_buckets(shared, labels)
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(salt * hubs + i), "band", "content").alias("h"), "content", "label")).alias(f"hub{i}") for i in range(hubs)]
-    mixed_classes = placed.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *drawn).where("low <> high")
-    chosen = mixed_classes.select("band", "key", F.array(*(F.struct(f"hub{i}.content", f"hub{i}.label") for i in range(hubs))).alias("hubs"))
-    met = placed.join(chosen, ["band", "key"]).select("content", "label", F.explode("hubs").alias("hub")).where("label <> hub.label")
-    return met.select(F.least("content", "hub.content").alias("a"), F.greatest("content", "hub.content").alias("b")).distinct()
-
-
 def shingle_sets(docs: DataFrame, wanted: DataFrame, weights, words: int = WORDS) -> DataFrame:
     """content, keys, weights (packed uint32 and float32), total weight of the wanted (doc_id, content) rows."""
 
@@ -392,24 +408,96 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(part), pa.array(weights[at : at + CHUNK])], ["content", "label", "total", "shingle", "weight"])
 
 
-def remaining_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs a < b of different classes, every one that can reach the threshold among the texts of mixed buckets.
-
-    The overlap of such a pair reaches the threshold times either total and lies in shingles of several classes. In one order of
-    those, by falling frequency, a text's longest run from the start that weighs less than that can't hold the overlap, so
-    the pair shares a shingle of what follows, its prefix: the rarest fifth at most. Boilerplate is frequent and stays outside.
-    """
+def mixed_rows(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored content, label, total, shingle, weight of the texts in buckets of several classes."""
     placed = classed_buckets(shared, labels)
     buckets = placed.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
     texts = stored(placed.join(buckets, ["band", "key"]).select("content", "label").distinct(), "mixed")
-    rows = stored(in_arrow(sets.join(texts, "content").select("content", "label", "keys", "weights", "total"), unpacked, "content binary, label binary, total double, shingle bigint, weight float"), "shingles")
+    return stored(in_arrow(sets.join(texts, "content").select("content", "label", "keys", "weights", "total"), unpacked, "content binary, label binary, total double, shingle bigint, weight float"), "shingles")
+
+
+def prefixes(rows: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Stored content, total, shingle, gap: on which shingles of (content, label, total, shingle, weight) rows texts of two classes may meet.
+
+    Shingles of several classes are put in one order, by falling frequency; `through` is a text's weight from the start of that order to
+    a shingle. Texts of totals s and t that reach the threshold overlap in share * (s + t) at least, share = threshold / (1 + threshold), so
+    the last shingle they have in common has a `through` of that or more in both. With gap = through - share * total that reads: either
+    gap is share times the other's total at least. That holds for the classes of the rows and for any that they merge into.
+    """
+    share = threshold / (1 + threshold)
     crossing = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle", "df")
     order = Window.partitionBy("content").orderBy(F.desc("df"), "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     through = rows.join(crossing, "shingle").withColumn("through", F.sum(F.col("weight").cast("double")).over(order))
-    prefix = stored(through.where(F.col("through") >= (threshold - 1e-5) * F.col("total")).select("content", "label", "total", "shingle"), "prefixes")
-    side = lambda x: prefix.select("shingle", F.col("content").alias(x), F.col("label").alias(f"l{x}"), F.col("total").alias(f"t{x}"))
-    near = F.least("ta", "tb") >= (threshold - 1e-5) * F.greatest("ta", "tb")
-    return side("a").join(side("b"), "shingle").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
+    gap = F.col("through") - share * F.col("total")
+    # No total of a partner is below threshold times the own one.
+    return stored(through.withColumn("gap", gap).where(F.col("gap") >= share * (threshold - SLACK) * F.col("total")).select("content", "total", "shingle", "gap"), "prefixes")
+
+
+def labelled(prefix: DataFrame, labels: DataFrame) -> DataFrame:
+    named = prefix.join(labels.withColumnRenamed("node", "content"), "content", "left")
+    return named.withColumn("label", F.coalesce("label", "content"))
+
+
+def leading_pairs(prefix: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs a < b of different classes: each text with one other for each of its shingles.
+
+    Among the texts of like totals on a shingle, that is the one of the greatest gap, which has most in common with the others; or, for the
+    texts of its class, the one of the greatest gap in another class.
+    """
+    binned = prefix.withColumn("bin", F.floor(F.log("total") / float(-np.log(threshold))))
+    lead = F.max(F.struct("gap", "total", "label", "content"))
+    first = binned.groupBy("shingle", "bin").agg(lead.alias("first"))
+    second = binned.join(first, ["shingle", "bin"]).where(F.col("label") != F.col("first.label")).groupBy("shingle", "bin").agg(lead.alias("second"))
+    met = binned.join(first.join(second, ["shingle", "bin"]), ["shingle", "bin"])
+    met = met.withColumn("other", F.when(F.col("label") == F.col("first.label"), F.col("second")).otherwise(F.col("first")))
+    met = met.where(may_meet("total", "gap", "other.total", "other.gap", threshold))
+    return met.select(F.least("content", "other.content").alias("a"), F.greatest("content", "other.content").alias("b")).distinct()
+
+
+def may_meet(total: str, gap: str, other_total: str, other_gap: str, threshold: float):
+    share = threshold / (1 + threshold)
+    near = F.least(total, other_total) >= (threshold - SLACK) * F.greatest(total, other_total)
+    return near & (F.col(gap) >= (share - SLACK) * F.col(other_total)) & (F.col(other_gap) >= (share - SLACK) * F.col(total))
+
+
+def able(prefix: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The rows that some text of another class on the shingle may meet, by the largest gap and the least total of its other classes."""
+    share = threshold / (1 + threshold)
+    classes = prefix.groupBy("shingle", "label").agg(F.max("gap").alias("gap"), F.min("total").alias("total"))
+    first = classes.groupBy("shingle").agg(F.max(F.struct("gap", "label")).alias("most"), F.min(F.struct("total", "label")).alias("least"))
+    second = classes.join(first, "shingle").groupBy("shingle").agg(
+        F.max(F.when(F.col("label") != F.col("most.label"), F.col("gap"))).alias("gap2"),
+        F.min(F.when(F.col("label") != F.col("least.label"), F.col("total"))).alias("total2"),
+    ).where("gap2 is not null")
+    best = first.join(second, "shingle").select("shingle", F.col("most.gap").alias("gap1"), F.col("most.label").alias("gap_of"), "gap2", F.col("least.total").alias("total1"), F.col("least.label").alias("total_of"), "total2")
+    other_gap = F.when(F.col("label") == F.col("gap_of"), F.col("gap2")).otherwise(F.col("gap1"))
+    other_total = F.when(F.col("label") == F.col("total_of"), F.col("total2")).otherwise(F.col("total1"))
+    meet = (F.col("gap") >= (share - SLACK) * other_total) & (other_gap >= (share - SLACK) * F.col("total"))
+    return prefix.join(best, "shingle").where(meet).select("content", "label", "total", "shingle", "gap")
+
+
+def remaining_pairs(prefix: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs a < b of different classes, every one that can reach the threshold."""
+    rows = stored(able(prefix, threshold), "able")
+    side = lambda x: rows.select("shingle", F.col("content").alias(x), F.col("label").alias(f"l{x}"), F.col("total").alias(f"t{x}"), F.col("gap").alias(f"g{x}"))
+    meet = may_meet("ta", "ga", "tb", "gb", threshold)
+    return side("a").join(side("b"), "shingle").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & meet).select("a", "b").distinct()
+
+
+def exactly_linked(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Labels after every pair of different classes in mixed buckets that reaches the threshold.
+
+    ROUNDS of leading pairs come first: where hubs were badly chosen, classes merge by a number of pairs in proportion to the rows.
+    What they leave, in classes that merged as far as they did, is found pair by pair.
+    """
+    rows = mixed_rows(shared, labels, sets)
+    prefix = prefixes(rows, threshold)
+    discard(rows)
+    for pairs in (*[leading_pairs] * ROUNDS, remaining_pairs):
+        links = stored(verified(pairs(labelled(prefix, labels), threshold), sets, threshold), "links")
+        if links.limit(1).count():
+            labels = relabelled(labels, links)
+    return labels
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -422,7 +510,7 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
-def near_labels(docs: DataFrame, words: int = WORDS, threshold: float = SIMILARITY, samples: int = SAMPLES, rows: int = ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_labels(docs: DataFrame, words: int = WORDS, threshold: float = SIMILARITY, samples: int = SAMPLES, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored signatures, distinct contents (content, first_id, n) and the labels (node, label) of linked contents."""
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(frequent_weights(docs, words))
@@ -430,18 +518,11 @@ def near_labels(docs: DataFrame, words: int = WORDS, threshold: float = SIMILARI
     nodes = signed.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "contents")
     shared = shared_buckets(nodes)
-    # Every text of a shared bucket meets a hub in the first round, so these sets serve all rounds.
+    # Every text of a shared bucket meets a hub, so these sets serve both searches.
     wanted = stored(nodes.join(shared.select("content").distinct(), "content").select(F.col("first_id").alias("doc_id"), "content"), "wanted")
     sets = stored(shingle_sets(docs, wanted, weights, words), "sets")
     labels = components(stored(verified(candidate_pairs(shared), sets, threshold), "links"))
-    for r in range(rounds):
-        links = stored(verified(further_pairs(shared, labels, r + 1), sets, threshold), "links")
-        if not links.limit(1).count():
-            break
-        labels = relabelled(labels, links)
-    links = stored(verified(remaining_pairs(shared, labels, sets, threshold), sets, threshold), "links")
-    if links.limit(1).count():
-        labels = relabelled(labels, links)
+    labels = exactly_linked(shared, labels, sets, threshold)
     return signed, nodes, labels
 
 

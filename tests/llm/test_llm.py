@@ -221,7 +221,8 @@ def test_near_dedup_exact_search(spark):
     sets = near_dedup.shingle_sets(docs, nodes.select("doc_id", "content"), weights)
     shared = nodes.select(F.lit(0).alias("band"), F.lit(0).cast("bigint").alias("key"), "content", F.lit(1).cast("bigint").alias("n"))
     none = spark.createDataFrame([], "node binary, label binary")
-    found = near_dedup.verified(near_dedup.remaining_pairs(shared, none, sets), sets).collect()
+    prefix = near_dedup.prefixes(near_dedup.mixed_rows(shared, none, sets))
+    found = near_dedup.verified(near_dedup.remaining_pairs(near_dedup.labelled(prefix, none)), sets).collect()
     ids = {bytes(r.content): r.doc_id for r in nodes.collect()}
     got = {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in found}
     bags = {i: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in rows)}
@@ -232,7 +233,11 @@ def test_near_dedup_exact_search(spark):
     assert not got - want, got - want
     assert len(want) > 50
     one = nodes.select(F.col("content").alias("node"), F.lit(b"x").alias("label"))
-    assert near_dedup.remaining_pairs(shared, one, sets).count() == 0
+    assert near_dedup.remaining_pairs(near_dedup.labelled(prefix, one)).count() == 0
+    linked = {bytes(r.node): bytes(r.label) for r in near_dedup.exactly_linked(shared, none, sets).collect()}
+    node = {i: c for c, i in ids.items()}
+    assert all(linked[node[a]] == linked[node[b]] for a, b in want)
+    assert all(any(ids[x] in (a, b) for a, b in want) for x in linked)
 
 
 def test_consistent_weighted_sampling_estimates_similarity():
