@@ -11,17 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.formats import detect
+from ..functions.formats import CRITERIA, detect
 from ..functions.refs import entry_type, header, ref_key
 from ..scratch import store
 from ..sources.archives import WRITE, Child, unpack
 from .catalog import first_wins
 
 
-def with_ref(df: DataFrame, path: str, hasher=F.md5) -> DataFrame:
+def with_ref(df: DataFrame, path: str, hasher=F.md5, criteria=CRITERIA) -> DataFrame:
     """Adds content_hash, leaf_size and the detected format; an empty directory counts as size 1."""
     size = F.when((F.octet_length("content") == 0) & F.col(path).endswith("/"), 1).otherwise(F.octet_length("content")).cast("bigint")
-    return df.withColumn("content_hash", hasher(F.col("content"))).withColumn("leaf_size", size).withColumn("format", detect(F.lit(None).cast("string"), F.col(path), header(F.col("content"))))
+    return df.withColumn("content_hash", hasher(F.col("content"))).withColumn("leaf_size", size).withColumn("format", detect(F.lit(None).cast("string"), F.col(path), header(F.col("content")), criteria))
 
 
 class Ingested:
@@ -32,27 +32,31 @@ class Ingested:
 
 
 def _named(df: DataFrame) -> DataFrame:
-    is_container = F.col("format.container") & (F.octet_length("content") > 0)
-    return df.withColumn("container", is_container).withColumn("key", ref_key(F.col("content_hash"), F.col("leaf_size"), F.col("container")))
+    """Adds key, container and opened: a file of tier 2 is opened too, but stays a leaf that its parent refers to."""
+    opened = F.col("format.container") & (F.octet_length("content") > 0)
+    return df.withColumn("opened", opened).withColumn("container", opened & (F.col("format.tier") < 2)).withColumn("key", ref_key(F.col("content_hash"), F.col("leaf_size"), F.col("container")))
 
 
-def ingest(roots: DataFrame, max_depth: int = 16, hasher=F.md5) -> Ingested:
-    """roots(filename, content) -> Ingested. Nested containers re-enter until none is left or max_depth is passed."""
+def ingest(roots: DataFrame, max_depth: int = 16, hasher=F.md5, criteria=CRITERIA) -> Ingested:
+    """roots(filename, content) -> Ingested. Nested containers re-enter until none is left or max_depth is passed.
+
+    A container of tier 2 can't be rebuilt bit by bit: its original is kept as a leaf, and its parts are entries of that leaf's key.
+    """
     spark = roots.sparkSession
-    level = store(_named(with_ref(roots.select("filename", "content"), "filename", hasher)), "roots")
+    level = store(_named(with_ref(roots.select("filename", "content"), "filename", hasher, criteria)), "roots")
     blobs = [level.select("key", "content_hash", "leaf_size", "container", "format.mime_type")]
     contents = [level.select("key", "content", F.col("format.handler").alias("handler"), "container")]
-    frontier = level.where("container").select(F.col("key").alias("container_key"), "format.handler", "content").dropDuplicates(["container_key"])
+    frontier = level.where("opened").select(F.col("key").alias("container_key"), "format.handler", "content").dropDuplicates(["container_key"])
     known, entries, depth = frontier.select("container_key", "handler"), [], 0
     while frontier.limit(1).count():
         depth += 1
         if depth > max_depth:
             raise ValueError(f"containers are nested deeper than {max_depth}")
-        children = store(_named(with_ref(unpack(frontier), "path", hasher)), "children")
+        children = store(_named(with_ref(unpack(frontier), "path", hasher, criteria)), "children")
         entries.append(children.select("container_key", "ordinal", "path", "key", entry_type(F.col("path")).alias("entry_type"), "mtime", "mode", "format_metadata"))
         blobs.append(children.select("key", "content_hash", "leaf_size", "container", "format.mime_type"))
         contents.append(children.select("key", "content", F.col("format.handler").alias("handler"), "container"))
-        inner = children.where("container").select(F.col("key").alias("container_key"), F.col("format.handler").alias("handler"), "content").dropDuplicates(["container_key"])
+        inner = children.where("opened").select(F.col("key").alias("container_key"), F.col("format.handler").alias("handler"), "content").dropDuplicates(["container_key"])
         frontier = store(inner.join(known, "container_key", "left_anti"), "frontier")
         known = known.unionByName(frontier.select("container_key", "handler"))
 
@@ -84,6 +88,13 @@ def rebuild(manifests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return refs, manifests.select("container_key", "format_key", "entry_count"), entries
 
 
+def rebuild_counts(manifests: DataFrame) -> DataFrame:
+    """refs, containers, entries: what a rebuild that truncates first puts in."""
+    refs, containers, entries = rebuild(manifests)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(refs, "refs").crossJoin(n(containers, "containers")).crossJoin(n(entries, "entries"))
+
+
 def reconstruct(manifests: DataFrame, contents: DataFrame, max_depth: int = 16) -> DataFrame:
     """container_key, content of every container, bottom-up: a round writes those whose parts are all there."""
     done = contents.select("key", "content")

@@ -40,6 +40,11 @@ def visible(df: DataFrame, key: str, hard: DataFrame | None, soft: Column) -> Da
     return df.join(listed, key, "left").where(soft | F.col("_listed").isNotNull()).drop("_listed")
 
 
+def row_policy(df: DataFrame, tenant, key: str, hard: DataFrame | None, soft: Column, column: str = "tenant_id") -> DataFrame:
+    """Row-level security: rows of the session's tenant that its sandbox admits."""
+    return visible(for_tenant(df, tenant, column), key, hard, soft)
+
+
 def sessions(session: DataFrame, principal: DataFrame, now: Column) -> DataFrame:
     """Sessions that haven't expired (null never does) of active principals."""
     live = session.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))

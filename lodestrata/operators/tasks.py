@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 OPEN, IN_PROGRESS, BLOCKED, BACKGROUND, COMPLETE, ERROR, CANCELLED, DEAD = range(8)
 TERMINAL = (COMPLETE, ERROR, CANCELLED, DEAD)
 LEASE_MINUTES = 5
-RETRYABLE = ("IOException", "UncheckedIOException", "FileNotFoundException", "SocketException", "SocketTimeoutException", "ConnectException", "TimeoutException")
+#: IOException and TimeoutException with their subclasses in the Java library.
+RETRYABLE = (
+    "IOException", "TimeoutException", "EOFException", "FileNotFoundException", "InterruptedIOException", "SocketTimeoutException", "SocketException", "ConnectException",
+    "BindException", "NoRouteToHostException", "PortUnreachableException", "UnknownHostException", "UnknownServiceException", "ProtocolException", "MalformedURLException", "HttpRetryException",
+    "HttpTimeoutException", "HttpConnectTimeoutException", "WebSocketHandshakeException", "SSLException", "SSLHandshakeException", "SSLKeyException", "SSLPeerUnverifiedException", "SSLProtocolException",
+    "ObjectStreamException", "InvalidClassException", "InvalidObjectException", "NotActiveException", "NotSerializableException", "OptionalDataException", "StreamCorruptedException", "WriteAbortedException",
+    "SyncFailedException", "UTFDataFormatException", "UnsupportedEncodingException", "CharConversionException", "CharacterCodingException", "MalformedInputException", "UnmappableCharacterException", "ZipException", "JarException",
+    "FileSystemException", "AccessDeniedException", "AtomicMoveNotSupportedException", "DirectoryNotEmptyException", "FileAlreadyExistsException", "FileSystemLoopException", "NoSuchFileException", "NotDirectoryException", "NotLinkException",
+    "ClosedChannelException", "AsynchronousCloseException", "ClosedByInterruptException", "FileLockInterruptionException", "InterruptedByTimeoutException", "RemoteException",
+)
 
 
 def submit(new: DataFrame, now: Column, status: int = OPEN) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 #: Field numbers. Wire types: 0 varint, 2 bytes.
 MANIFEST = {1: "container_hash", 2: "container_size", 3: "format_key", 4: "format_metadata", 5: "entries", 6: "reconstruction_tier"}
 ENTRY = {1: "path", 2: "content_hash", 3: "leaf_size", 4: "is_container", 5: "entry_type", 6: "mtime", 7: "format_metadata"}
@@ -96,3 +100,28 @@ def decode(data: bytes) -> dict:
     out = _read(MANIFEST, data)
     out["reconstruction_tier"] = out["reconstruction_tier"] or 1
     return out
+
+
+ENTRY_TYPE = "struct<path:string,content_hash:binary,leaf_size:bigint,is_container:boolean,entry_type:int,mtime:bigint,format_metadata:binary>"
+MANIFEST_TYPE = f"struct<container_hash:binary,container_size:bigint,format_key:string,format_metadata:binary,entries:array<{ENTRY_TYPE}>,reconstruction_tier:int>"
+
+
+def encoded(manifests: DataFrame) -> DataFrame:
+    """Sink side: container_key and the wire form of manifests(container_key, and the fields of MANIFEST), in Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = pdf.to_dict("records")
+            yield pd.DataFrame({"container_key": pdf["container_key"], "manifest": [encode(r | {"entries": list(r["entries"])}) for r in rows]})
+
+    return manifests.select("container_key", *MANIFEST.values()).mapInPandas(run, f"container_key {manifests.schema['container_key'].dataType.simpleString()}, manifest binary")
+
+
+def decoded(wire: Column) -> Column:
+    """Source side: wire form to a struct of MANIFEST_TYPE."""
+
+    @F.pandas_udf(MANIFEST_TYPE)
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decode(bytes(x)) for x in values], columns=list(MANIFEST.values()))
+
+    return run(wire)

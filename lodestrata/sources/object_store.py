@@ -56,12 +56,16 @@ class ObjectStore:
         mine = self.table().where(F.col("tenant") == tenant)
         if not mine.where(F.col("key") == key).limit(1).count():
             raise BlobNotFound(f"{tenant}/{key}")
-        from ..scratch import store
-
-        rest = store(mine.where(F.col("key") != key), "rest")
-        self.delete_tenant(tenant)
-        if rest.limit(1).count():
-            rest.write.mode("append").partitionBy("tenant").parquet(self.root)
+        # Written beside and swapped in: at every moment one whole copy is in the store's folder.
+        fs, path = self._fs()
+        here, beside, old = (f"{self.root}/{name}" for name in (f"tenant={tenant}", f"_new-{tenant}", f"_old-{tenant}"))
+        mine.where(F.col("key") != key).drop("tenant").write.mode("overwrite").parquet(beside)
+        fs.rename(path(here), path(old))
+        if mine.sparkSession.read.parquet(beside).limit(1).count():
+            fs.rename(path(beside), path(here))
+        else:
+            fs.delete(path(beside), True)
+        fs.delete(path(old), True)
 
     def delete_tenant(self, tenant: str) -> None:
         fs, path = self._fs()

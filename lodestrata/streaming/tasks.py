@@ -32,6 +32,23 @@ def event_counts(events: DataFrame, window: str = "1 hour", lateness: str = "10
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n")).select("window.start", "event_type", "n")
 
 
+def fan_in(done: DataFrame, needed: DataFrame, parent: str, parts: str, sink: str, checkpoint: str) -> DataFrame:
+    """parent, parts of the parents all of whose parts have arrived on the stream `done`.
+
+    The stream only counts arrivals: each batch appends one row per parent to the sink, under its batch id, so a batch that
+    runs again replaces what it wrote. The countdown is their sum against needed(parent, parts).
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(parent).agg(F.count(F.lit(1)).alias("arrived")).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    query = done.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kind = needed.schema[parent].dataType.simpleString()
+    arrived = needed.sparkSession.read.schema(f"{parent} {kind}, arrived bigint, batch int").parquet(sink).groupBy(parent).agg(F.sum("arrived").alias("arrived"))
+    return needed.join(arrived, parent).where(F.col("arrived") >= F.col(parts)).select(parent, parts)
+
+
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append"):
     """Process what is there, exactly once per checkpoint, then stop."""
     query = df.writeStream.outputMode(mode).format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -135,3 +135,24 @@ def test_streaming(spark, tmp_path):
     claims.write.parquet(f"{tmp_path}/claims")
     st.run_available(st.overdue(spark.readStream.schema(claims.schema).parquet(f"{tmp_path}/claims")), f"{tmp_path}/late", f"{tmp_path}/ck2")
     assert [r.task_id for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [1]
+
+
+def test_merge_json_keeps_types(spark):
+    from lodestrata.operators.catalog import merge_json
+
+    rows = spark.createDataFrame([(1, 1, '{"a": 1, "b": {"c": [1, null]}}'), (1, 2, '{"a": true, "d": null, "e": "x"}')], "k int, seq int, doc string")
+    assert merge_json(rows, "k", "doc", "seq").first().doc == '{"a":true,"b":{"c":[1,null]},"d":null,"e":"x"}'
+
+
+def test_a_scratch_folder_must_be_shared():
+    from types import SimpleNamespace as S
+
+    import pytest
+
+    from lodestrata.scratch import scratch_dir
+
+    conf = S(get=lambda *a: None)
+    unset = S(isDefined=lambda: False)
+    context = S(getConf=lambda: conf, _jsc=S(sc=lambda: S(getCheckpointDir=lambda: unset)), master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_dir(S(sparkContext=context, conf=conf))
