@@ -1,6 +1,6 @@
 """BLAKE3 (first 128 bits by default), written from the published specification, and its Arrow form.
 
-Chunks of a text are compressed together in numpy, one lane per chunk, so long contents are vectorised;
+The chunks of all contents of a batch are compressed together in numpy, one lane per chunk;
 a pandas UDF carries batches. md5 is the native choice where fidelity isn't needed.
 """
 
@@ -44,38 +44,69 @@ def _compress(cv: np.ndarray, block: np.ndarray, counter: np.ndarray, length: np
     return np.stack([v[i] ^ v[i + 8] for i in range(8)])
 
 
-def blake3(data: bytes, size: int = 16) -> bytes:
-    """The first `size` bytes (32 at most) of the BLAKE3 hash."""
-    chunks = max(1, -(-len(data) // 1024))
-    padded = np.zeros(chunks * 1024, np.uint8)
-    padded[: len(data)] = np.frombuffer(data, np.uint8)
-    words = padded.view("<u4").reshape(chunks, 16, 16)
-    left = np.full(chunks, 1024)
-    left[-1] = len(data) - 1024 * (chunks - 1)
+def blake3_many(contents: list[bytes], size: int = 16) -> list[bytes]:
+    """The first `size` bytes (32 at most) of the BLAKE3 hash of each content: the chunks of all of them are lanes of one array."""
+    if not contents:
+        return []
+    length = np.array([len(x) for x in contents], np.int64)
+    count = np.maximum(1, -(-length // 1024))
+    first = np.cumsum(count) - count
+    lanes = int(count.sum())
+    padded = np.zeros(lanes * 1024, np.uint8)
+    for at, data in zip((first * 1024).tolist(), contents, strict=True):
+        padded[at : at + len(data)] = np.frombuffer(data, np.uint8)
+    words = padded.view("<u4").reshape(lanes, 16, 16)
+    counter = np.arange(lanes) - np.repeat(first, count)
+    left = np.minimum(1024, np.repeat(length, count) - 1024 * counter)
     blocks = np.maximum(1, -(-left // 64))
-    cv = np.tile(_IV[:, None], chunks)
-    counter = np.arange(chunks, dtype=np.int64)
+    alone = np.where(np.repeat(count, count) == 1, _ROOT, 0)
+    cv = np.tile(_IV[:, None], lanes)
     for b in range(int(blocks.max())):
         live = np.flatnonzero(blocks > b)
         last = blocks[live] == b + 1
-        flags = np.where(b == 0, _START, 0) + np.where(last, _END, 0)
-        if chunks == 1:
-            flags = flags + np.where(last, _ROOT, 0)
+        flags = np.where(b == 0, _START, 0) + np.where(last, _END + alone[live], 0)
         cv[:, live] = _compress(cv[:, live], words[live, b].T, counter[live], np.where(last, left[live] - 64 * b, 64), flags)
-    while cv.shape[1] > 1:  # a lone last node passes to the next level: left subtrees are full
-        pairs, odd = cv.shape[1] // 2, cv.shape[1] % 2
-        block = np.concatenate([cv[:, 0 : 2 * pairs : 2], cv[:, 1 : 2 * pairs : 2]])
-        root = _ROOT if pairs == 1 and not odd else 0
-        up = _compress(np.tile(_IV[:, None], pairs), block, np.zeros(pairs, np.int64), np.full(pairs, 64), np.full(pairs, _PARENT | root))
-        cv = np.concatenate([up, cv[:, -1:]], axis=1) if odd else up
-    return cv[:, 0].astype("<u4").tobytes()[:size]
+    while count.max() > 1:  # a lone last node passes to the next level: left subtrees are full
+        pairs, above = count // 2, -(-count // 2)
+        start, start_above = np.cumsum(count) - count, np.cumsum(above) - above
+        within = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        low = np.repeat(start, pairs) + 2 * within
+        flags = _PARENT + np.where(np.repeat(count, pairs) == 2, _ROOT, 0)
+        merged = _compress(np.tile(_IV[:, None], len(low)), np.concatenate([cv[:, low], cv[:, low + 1]]), np.zeros(len(low), np.int64), np.full(len(low), 64), flags)
+        up = np.empty((8, int(above.sum())), np.uint32)
+        up[:, np.repeat(start_above, pairs) + within] = merged
+        odd = count % 2 == 1
+        up[:, (start_above + pairs)[odd]] = cv[:, (start + count - 1)[odd]]
+        cv, count = up, above
+    return [x.tobytes()[:size] for x in np.ascontiguousarray(cv.T.astype("<u4"))]
 
 
-def blake3_128(content: Column) -> Column:
-    """16-byte hash of a binary column; null stays null."""
+def blake3(data: bytes, size: int = 16) -> bytes:
+    return blake3_many([data], size)[0]
+
 
+#: Bytes of content hashed at once.
+LANE_BYTES = 4 << 20
+
+
+def blake3_128(content: Column) -> Column:
     @F.pandas_udf("binary")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: None if b is None else blake3(bytes(b)))
+    def run(values: pd.Series) -> pd.Series:
+        out, part, held = [None] * len(values), [], 0
+
+        def flush() -> None:
+            for i, digest in zip(part, blake3_many([bytes(values.iloc[i]) for i in part]), strict=True):
+                out[i] = digest
+            part.clear()
+
+        for i, x in enumerate(values):
+            if x is not None:
+                part.append(i)
+                held += len(x)
+                if held > LANE_BYTES:
+                    flush()
+                    held = 0
+        flush()
+        return pd.Series(out)
 
     return run(content)

@@ -63,3 +63,15 @@ def test_archives_and_manifest():
     assert manifest.decode(manifest.encode(m)) == m | {"reconstruction_tier": 1}
     with pytest.raises((ValueError, IndexError)):
         manifest.decode(manifest.encode(m)[:-3])
+
+
+def test_blake3_lanes_of_a_batch():
+    import random
+
+    from lodestrata.functions.hashing import blake3, blake3_many
+
+    assert blake3(b"", 32).hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
+    assert blake3(b"abc", 32).hex() == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
+    rng = random.Random(3)
+    contents = [rng.randbytes(n) for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 5000, 9000, 31744, 40000)]
+    assert blake3_many(contents) == [blake3(x) for x in contents] and blake3_many([]) == []
