@@ -505,7 +505,8 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     named = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
     labels = stored(labels.unionByName(named.withColumn("label", F.col("node"))), "labels")
     of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-    merged = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    merged = components(stored(between, "between"))
     merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
     return stored(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
