@@ -7,15 +7,19 @@ once per distinct reference. A container that is already known is not unpacked a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import CRITERIA, detect
 from ..functions.refs import entry_type, header, ref_key
 from ..scratch import store
 from ..sources.archives import WRITE, Child, unpack
-from .catalog import first_wins
+from .catalog import REF, dedup_status, first_wins, insert_if_absent, last_non_null
+
+ENTRIES = "container_key string, ordinal int, path string, key string, entry_type int, mtime bigint, mode int, format_metadata binary"
 
 
 def with_ref(df: DataFrame, path: str, hasher=F.md5, criteria=CRITERIA) -> DataFrame:
@@ -66,7 +70,7 @@ def ingest(roots: DataFrame, max_depth: int = 16, hasher=F.md5, criteria=CRITERI
             out = out.unionByName(p)
         return out
 
-    all_entries = union(entries) if entries else spark.createDataFrame([], "container_key string, ordinal int, path string, key string, entry_type int, mtime bigint, mode int, format_metadata binary")
+    all_entries = union(entries) if entries else spark.createDataFrame([], ENTRIES)
     counted = all_entries.groupBy("container_key").agg(F.count(F.lit(1)).alias("entry_count"))
     containers = known.distinct().join(counted, "container_key", "left").select("container_key", F.col("handler").alias("format_key"), F.coalesce("entry_count", F.lit(0)).alias("entry_count"))
     distinct_blobs = union(blobs).groupBy("key", "content_hash", "leaf_size", "container").agg(F.max("mime_type").alias("mime_type"))
@@ -74,6 +78,36 @@ def ingest(roots: DataFrame, max_depth: int = 16, hasher=F.md5, criteria=CRITERI
     return Ingested(distinct_blobs, leaves, store(containers, "containers"), store(first_wins(all_entries, ["container_key", "path"], "ordinal"), "entries"))
 
 
+def ingest_into(index: Ingested, owned: DataFrame, roots: DataFrame, tenant: str, **options) -> tuple[Ingested, DataFrame, DataFrame]:
+    """Ingest of a tenant's roots into an index that may hold them: the index after it, what tenants own, and the arrivals with their status.
+
+    owned(tenant, key, content_hash, leaf_size, container) grows by what the tenant lacked. The status of an arrival is full_hit (the tenant
+    has it), ref_hit (another has) or new. Contents are one table for all tenants, so a ref_hit adds no bytes, only a row of owned. A known
+    reference takes the arriving MIME type where that isn't null; known containers and entries stay as they are.
+    """
+    done = ingest(roots, **options)
+    arrived = done.blobs.withColumn("tenant", F.lit(tenant))
+    status = store(dedup_status(arrived, owned), "status")
+    gained = status.where("status <> 'full_hit'").select("tenant", "key", *REF)
+
+    def added(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+        return old.unionByName(insert_if_absent(old, new, keys))
+
+    seen = index.blobs.withColumn("seq", F.lit(0)).unionByName(done.blobs.withColumn("seq", F.lit(1)))
+    blobs = seen.groupBy("key", *REF).agg(last_non_null(F.col("mime_type"), F.col("seq")).alias("mime_type"))
+    # Entries of a container belong together: those of a known one are not offered again.
+    entries = index.entries.unionByName(done.entries.join(index.containers.select("container_key"), "container_key", "left_anti"))
+    merged = Ingested(blobs, added(index.contents, done.contents, ["key"]), added(index.containers, done.containers, ["container_key"]), entries)
+    return merged, owned.unionByName(gained), status
+
+
+def empty_index(spark: SparkSession) -> tuple[Ingested, DataFrame]:
+    """An index without rows, and what tenants own of it."""
+    ref = "content_hash string, leaf_size bigint, container boolean"
+    tables = (f"key string, {ref}, mime_type string", "key string, content binary", "container_key string, format_key string, entry_count bigint", ENTRIES)
+    return Ingested(*(spark.createDataFrame([], x) for x in tables)), spark.createDataFrame([], f"tenant string, key string, {ref}")
+
+
 def manifests_of(done: Ingested) -> DataFrame:
     """One manifest row per container, empty ones included: container_key, format_key, entry_count, entries in order."""
     entry = F.struct("ordinal", "path", "key", "entry_type", "mtime", "mode", "format_metadata")
@@ -90,9 +124,9 @@ def rebuild(manifests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def rebuild_counts(manifests: DataFrame) -> DataFrame:
     """refs, containers, entries: what a rebuild that truncates first puts in."""
-    refs, containers, entries = rebuild(manifests)
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return n(refs, "refs").crossJoin(n(containers, "containers")).crossJoin(n(entries, "entries"))
+    tables = dict(zip(("refs", "containers", "entries"), rebuild(manifests), strict=True))
+    kinds = reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("kind")) for name, df in tables.items()))
+    return kinds.agg(*(F.count_if(F.col("kind") == name).alias(name) for name in tables))
 
 
 def reconstruct(manifests: DataFrame, contents: DataFrame, max_depth: int = 16) -> DataFrame:

@@ -201,6 +201,22 @@ def ingest_tier2(conv):
     return done.blobs.where("not container").groupBy(kind.alias("kind")).agg(n("leaves"))
 
 
+FILE_SQL = "SELECT md5(coalesce(text, '')) AS content_hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS leaf_size, role FROM conversations"
+
+
+@query(f"WITH r AS (SELECT content_hash, leaf_size, bool_or(role = 'user') AS held FROM ({FILE_SQL}) GROUP BY ALL) SELECT tenant, content_hash, leaf_size, CASE WHEN tenant = 'a' THEN CASE WHEN held THEN 'full_hit' ELSE 'ref_hit' END WHEN held THEN 'ref_hit' ELSE 'new' END AS status, (SELECT count(*) FROM r) AS stored FROM r, (VALUES ('a'), ('b')) AS t(tenant)", "conversations")
+def ingest_existing(conv):
+    """All turns ingested as files by tenant b, then by a, which had those of users: the status of each, and how many contents are stored."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    files = conv.select("role", F.format_string("%s-%s.txt", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("filename"), text.alias("content"))
+    index, owned = ingest.empty_index(conv.sparkSession)
+    index, owned, _ = ingest.ingest_into(index, owned, files.where("role = 'user'"), "a")
+    index, owned, of_b = ingest.ingest_into(index, owned, files, "b")
+    index, owned, of_a = ingest.ingest_into(index, owned, files, "a")
+    rows = of_b.unionByName(of_a).select("tenant", "content_hash", "leaf_size", "status")
+    return rows.withColumn("stored", F.lit(index.contents.count()))
+
+
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, CASE WHEN doc_id % 2 = 0 THEN 'UTF-8' END AS charset, CASE WHEN doc_id % 2 = 0 THEN CAST(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN suffix(text, chr(10)) THEN 0 ELSE 1 END END AS BIGINT) END AS lines, CASE WHEN doc_id % 2 = 0 THEN md5(text) END AS text_hash FROM documents", "documents")
 def leaf_details(docs):
     """Metadata and text of documents, even ids as text, odd ones as images."""

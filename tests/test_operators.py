@@ -27,6 +27,21 @@ def test_ingest_nested_archives_and_rebuild(spark):
     assert entries.count() == done.entries.count() and containers.count() == done.containers.count()
 
 
+def test_ingest_into_an_existing_index(spark):
+    """A second tenant's equal archive adds rows of ownership, no content, container or entry."""
+    file = lambda *names: bytearray(write_zip([Child(x, x[0].encode(), 1704067200000) for x in names]))
+    roots = lambda *rows: spark.createDataFrame(rows, "filename string, content binary")
+    index, owned = ingest.empty_index(spark)
+    index, owned, first = ingest.ingest_into(index, owned, roots(("x.zip", file("a.txt", "b.txt"))), "one")
+    index, owned, second = ingest.ingest_into(index, owned, roots(("y.zip", file("a.txt", "b.txt")), ("z.zip", file("b.txt", "c.txt"))), "two")
+    index, owned, third = ingest.ingest_into(index, owned, roots(("z.zip", file("b.txt", "c.txt"))), "two")
+    found = lambda df: sorted(r.status for r in df.collect())
+    assert found(first) == ["new"] * 3 and found(second) == ["new"] * 2 + ["ref_hit"] * 3 and found(third) == ["full_hit"] * 3
+    assert (index.blobs.count(), index.contents.count(), index.containers.count(), index.entries.count()) == (5, 3, 2, 4)
+    assert {r.tenant: r["count"] for r in owned.groupBy("tenant").count().collect()} == {"one": 3, "two": 5}
+    assert ingest.reconstruct(ingest.manifests_of(index), index.contents).count() == 2
+
+
 def test_object_store(spark, tmp_path):
     store = ObjectStore(spark, f"file://{tmp_path}/store")
     a, b = "a" * 32 + "-3", "b" * 32 + "-3_"
