@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Bytes of children that are held before they move on.
+HELD_BYTES = 8 << 20
 CHILD = "container_key string, ordinal int, path string, content binary, mtime bigint, mode int, format_metadata binary"
 
 
@@ -24,12 +27,28 @@ class Child:
     metadata: bytes | None = None
 
 
+def own_extra(extra: bytes) -> bytes:
+    """The extra fields of an entry but that of 64-bit sizes, which the writer sets itself."""
+    out, at = b"", 0
+    while at + 4 <= len(extra):
+        end = at + 4 + int.from_bytes(extra[at + 2 : at + 4], "little")
+        out += extra[at:end] if extra[at : at + 2] != b"\x01\x00" else b""
+        at = end
+    return out
+
+
+def zip_metadata(i: zipfile.ZipInfo) -> bytes:
+    """What a ZIP entry says beside its path, time and content, for the writer to say again."""
+    said = {"method": i.compress_type, "external": i.external_attr, "internal": i.internal_attr, "system": i.create_system, "version": i.create_version, "extra": own_extra(i.extra).hex(), "comment": i.comment.hex()}
+    return json.dumps(said, sort_keys=True).encode()
+
+
 def unpack_zip(data: bytes) -> Iterator[Child]:
     """Every entry, directories with empty content."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for i in z.infolist():
             stamp = int(datetime(*i.date_time, tzinfo=UTC).timestamp() * 1000) if i.date_time[1] and i.date_time[2] else None
-            yield Child(i.filename, b"" if i.is_dir() else z.read(i), stamp, (i.external_attr >> 16) & 0xFFFF or None, str(i.compress_type).encode())
+            yield Child(i.filename, b"" if i.is_dir() else z.read(i), stamp, (i.external_attr >> 16) & 0xFFFF or None, zip_metadata(i))
 
 
 def unpack_tar(data: bytes) -> Iterator[Child]:
@@ -46,9 +65,11 @@ def write_zip(children: list[Child]) -> bytes:
         for c in children:
             at = datetime.fromtimestamp((c.mtime or 315532800000) / 1000, UTC)
             info = zipfile.ZipInfo(c.path, (max(1980, at.year), at.month, at.day, at.hour, at.minute, at.second))
-            info.compress_type = int(c.metadata or b"0")
-            info.external_attr = (c.mode or 0) << 16
-            info.create_system = 3
+            said = json.loads(c.metadata) if c.metadata else {}
+            info.compress_type, info.create_system = said.get("method", zipfile.ZIP_STORED), said.get("system", 3)
+            info.external_attr, info.internal_attr = said.get("external", (c.mode or 0) << 16), said.get("internal", 0)
+            info.create_version = said.get("version", info.create_version)
+            info.extra, info.comment = bytes.fromhex(said.get("extra", "")), bytes.fromhex(said.get("comment", ""))
             z.writestr(info, c.content)
     return out.getvalue()
 
@@ -68,14 +89,23 @@ WRITE: dict[str, Callable[[list[Child]], bytes]] = {"zip": write_zip, "tar": wri
 
 
 def unpack(containers: DataFrame) -> DataFrame:
-    """Children of containers(container_key, handler, content), one archive in memory at a time."""
+    """Children of containers(container_key, handler, content): one archive in memory at a time, and of what is unpacked HELD_BYTES and a child."""
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["container_key", "ordinal", "path", "content", "mtime", "mode", "format_metadata"])
+        return out.astype({"mtime": "Int64", "mode": "Int32", "ordinal": "int32"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, handler, content in pdf.itertuples(index=False):
-                rows = [(key, n, c.path, c.content, c.mtime, c.mode, c.metadata) for n, c in enumerate(UNPACK[handler](bytes(content)))]
+                rows, held = [], 0
+                for n, c in enumerate(UNPACK[handler](bytes(content))):
+                    rows.append((key, n, c.path, c.content, c.mtime, c.mode, c.metadata))
+                    held += len(c.content)
+                    if held >= HELD_BYTES:
+                        yield frame(rows)
+                        rows, held = [], 0
                 if rows:
-                    out = pd.DataFrame(rows, columns=["container_key", "ordinal", "path", "content", "mtime", "mode", "format_metadata"])
-                    yield out.astype({"mtime": "Int64", "mode": "Int32", "ordinal": "int32"})
+                    yield frame(rows)
 
     return containers.select("container_key", "handler", "content").mapInPandas(run, CHILD)

@@ -1,10 +1,13 @@
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import codecs, formats, refs
 from lodestrata.functions.hashing import blake3
 from lodestrata.sources import manifest
-from lodestrata.sources.archives import Child, unpack_tar, unpack_zip, write_tar, write_zip
+from lodestrata.sources.archives import Child, own_extra, unpack_tar, unpack_zip, write_tar, write_zip
 
 
 def one(spark, column):
@@ -75,3 +78,16 @@ def test_blake3_lanes_of_a_batch():
     rng = random.Random(3)
     contents = [rng.randbytes(n) for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 5000, 9000, 31744, 40000)]
     assert blake3_many(contents) == [blake3(x) for x in contents] and blake3_many([]) == []
+
+
+def test_zip_entries_are_written_as_they_were():
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        for name, method in (("a.txt", zipfile.ZIP_DEFLATED), ("b/", zipfile.ZIP_STORED), ("c.bin", zipfile.ZIP_STORED)):
+            info = zipfile.ZipInfo(name, (2024, 2, 29, 12, 30, 42))
+            info.compress_type, info.create_system, info.internal_attr = method, 0, 1
+            info.external_attr, info.comment = (0o100640 << 16) | 0x20, b"said of " + name.encode()
+            info.extra = b"UT\x05\x00\x01\x00\x01\x02\x03"
+            z.writestr(info, b"" if name == "b/" else b"content " * 50)
+    assert write_zip(list(unpack_zip(made.getvalue()))) == made.getvalue()
+    assert own_extra(b"\x01\x00\x02\x00xxUT\x01\x00y") == b"UT\x01\x00y"
