@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import batched, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ EVIDENCE = 20
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
 _CACHE = 120_000
+#: Unseen words whose grams are gathered at once.
+BLOCK = 256
 
 
 RUN = re.compile(r"[^\W\d_]+")
@@ -71,7 +74,10 @@ class Model:
         for size, table in enumerate(grams):
             best = sorted(table.items(), key=lambda x: (-x[1].sum(), x[0]))[: GRAMS // LONGEST]
             self.grams.append(self._logs([g for g, _ in best], [c for _, c in best], np.sum(list(table.values()), axis=0) if table else np.ones(n)))
-        self.floor = np.zeros(n)
+        #: The same in one matrix, with a last row of zeros for words of which nothing is known.
+        self.gram_rows = np.array([*(x for table in self.grams for x in table.values()), np.zeros(n)])
+        row = count()
+        self.gram_ids = [{g: next(row) for g in table} for table in self.grams]
 
     @staticmethod
     def _grams(word: str) -> Iterator[tuple[int, list[str]]]:
@@ -87,13 +93,22 @@ class Model:
         base = np.log(totals + smooth * (len(names) + 1))
         return {w: np.log(c + smooth) - base for w, c in zip(names, counts, strict=True)}
 
-    def backoff(self, word: str) -> np.ndarray:
-        for size, found in self._grams(word):
-            table = self.grams[size]
-            seen = [table[g] for g in found if g in table]
-            if seen:
-                return np.mean(seen, axis=0) * min(1.0, size / LONGEST)
-        return self.floor
+    def backoff(self, words: Sequence[str]) -> np.ndarray:
+        """Scores of unseen words, a row for each."""
+        ids: list[int] = []
+        counts, shares = np.ones(len(words), np.int64), np.ones(len(words))
+        for k, word in enumerate(words):
+            for size, found in self._grams(word):
+                table = self.gram_ids[size]
+                seen = [table[g] for g in found if g in table]
+                if seen:
+                    ids += seen
+                    counts[k], shares[k] = len(seen), min(1.0, size / LONGEST)
+                    break
+            else:
+                ids.append(len(self.gram_rows) - 1)
+        sums = np.add.reduceat(self.gram_rows[ids], np.cumsum(counts) - counts)
+        return sums / counts[:, None] * shares[:, None]
 
 
 class Scorer:
@@ -121,9 +136,9 @@ class Scorer:
                 self.reset()
                 index = self.index
                 new = {w for w in words if w not in index}
-            for w in new:
-                index[w] = len(self.rows)
-                self.rows.append(self.model.backoff(w))
+            for block in batched(new, BLOCK):
+                index.update(zip(block, range(len(self.rows), len(self.rows) + len(block)), strict=True))
+                self.rows += list(self.model.backoff(block))
             if len(self.rows) > len(self.matrix):
                 grown = np.empty((max(1024, 2 * len(self.rows)), self.matrix.shape[1]))
                 grown[: self.filled] = self.matrix[: self.filled]
