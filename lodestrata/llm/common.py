@@ -6,7 +6,6 @@ non-ASCII bytes, compared after Unicode lower-casing. Null texts count as empty
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import SLICE_BYTES, byte_size, in_arrow  # noqa: F401
 from ..scratch import discard, scratch_dir  # noqa: F401
 from ..scratch import store as stored
 
-#: Bytes of text handled at once in a Python worker; a longer single text is handled alone.
-SLICE_BYTES = 1 << 20
 #: Rows up to which a list of keys is broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of an Arrow batch between the JVM and a Python worker; a longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -64,44 +59,6 @@ def fresh(df: DataFrame, name: str) -> str:
 
 # --------------------------------------------------------------------------- Arrow text
 
-def byte_size(value: str) -> int:
-    """Bytes of a setting such as 8388608, 64m or 1g."""
-    m = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", value.strip().lower())
-    if not m:
-        raise ValueError(f"not a size: {value}")
-    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ")
-
-
-def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of bounded bytes; a worker gives freed memory back after each partition.
-
-    The bound on batches is a setting of the session: it is lowered where it is larger or unbounded. Workers are
-    reused, so what one partition's caches leave in the allocators would stay beside the next one's.
-    """
-    conf = df.sparkSession.conf
-    if not 0 < byte_size(conf.get(ARROW_BYTES)) <= BATCH_BYTES:
-        conf.set(ARROW_BYTES, str(BATCH_BYTES))
-
-    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            release()
-
-    return df.mapInArrow(released, schema)
-
-
-def release() -> None:
-    import ctypes
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each part holds about `limit` bytes of the text column, or one row."""
     for batch in batches:
