@@ -6,10 +6,12 @@ import bz2
 import gzip
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..arrow import bound_batches, trim
+
 #: Magic bytes and extensions.
 MAGIC = {"gzip": b"\x1f\x8b", "bzip2": b"BZh"}
 EXTENSIONS = {"gzip": (".gz", ".tgz"), "bzip2": (".bz2",)}
@@ -38,20 +40,25 @@ def codec_of(content: Column, name: Column) -> Column:
     return out
 
 
-def encode(content: Column, codec: str, level: int = 9) -> Column:
-    if codec == "bzip2" and not 1 <= level <= 9:
-        raise ValueError("blockSize must be 1 to 9")
+def _each(content: Column, f: Callable[[bytes], bytes]) -> Column:
+    """f of each content, in batches of bounded bytes: of Python objects there is one content at a time besides the results."""
+    bound_batches()
 
-    @F.pandas_udf("binary")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: None if b is None else ENCODE[codec](bytes(b), level))
+    @F.arrow_udf("binary")
+    def run(x: pa.Array) -> pa.Array:
+        try:
+            return pa.array((None if b is None else f(b) for b in (v.as_py() for v in x)), pa.binary(), size=len(x))
+        finally:
+            trim()
 
     return run(content)
 
 
-def decode(content: Column, codec: str) -> Column:
-    @F.pandas_udf("binary")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: None if b is None else DECODE[codec](bytes(b)))
+def encode(content: Column, codec: str, level: int = 9) -> Column:
+    if codec == "bzip2" and not 1 <= level <= 9:
+        raise ValueError("blockSize must be 1 to 9")
+    return _each(content, lambda b: ENCODE[codec](b, level))
 
-    return run(content)
+
+def decode(content: Column, codec: str) -> Column:
+    return _each(content, DECODE[codec])

@@ -44,3 +44,16 @@ def test_manifests_pass_in_bounded_batches(unbounded):
 def test_a_null_message_stays_null(spark):
     wire = spark.createDataFrame([(None,), (bytearray(manifest.encode({"container_size": 3})),)], "w binary")
     assert sorted((r.m and r.m.container_size for r in wire.select(manifest.decoded(F.col("w")).alias("m")).collect()), key=str) == [3, None]
+
+
+def test_codecs_pass_in_bounded_batches(unbounded):
+    """A batch held 10,000 contents of any length before."""
+    from lodestrata.functions import codecs
+
+    spark = unbounded
+    raw = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 7 != 0, F.repeat(F.sha2(F.col("id").cast("string"), 512), 100)).cast("binary").alias("raw"))
+    for codec in ("gzip", "bzip2"):
+        spark.conf.set(ARROW_BYTES, "1g")
+        back = raw.select("raw", codecs.decode(codecs.encode(F.col("raw"), codec, 1), codec).alias("back"))
+        assert bound(spark) == BATCH_BYTES
+        assert back.where(~F.col("raw").eqNullSafe(F.col("back"))).count() == 0 and back.where("back IS NULL").count() == 429
