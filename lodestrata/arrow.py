@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and a Python worker; a longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+KINDS = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32()}
 
 
 def byte_size(value: str) -> int:
@@ -69,3 +71,34 @@ def parts(values: pa.RecordBatch | pa.Array, limit: int = SLICE_BYTES) -> Iterat
     step = max(1, min(n, n * limit // max(1, values.nbytes)))
     for at in range(0, n, step):
         yield values.slice(at, step)
+
+
+def in_groups(df: DataFrame, key: str, order: list, run: Callable[[Iterator[dict]], dict], schema: str, size: str) -> DataFrame:
+    """A row of schema for each value of key: run gets the group's rows one by one, in order. size: the column whose bytes bound a batch of results.
+
+    Rows are sorted in the JVM, which spills, and groups follow each other through bounded batches: a worker holds a slice of rows and what run keeps of one group.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for part in parts(batch):
+                yield from part.to_pylist()
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = [], 0
+        for _, group in groupby(rows(batches), lambda row: row[key]):
+            made.append(run(group))
+            held += len(made[-1][size]) + 64
+            if held >= SLICE_BYTES:
+                yield as_batch(made, schema)
+                made, held = [], 0
+        if made:
+            yield as_batch(made, schema)
+
+    return in_arrow(df.repartition(key).sortWithinPartitions(key, *order), grouped, schema)
+
+
+def as_batch(rows: list[dict], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of a flat schema in DDL."""
+    fields = [f.split() for f in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array((r[name] for r in rows), KINDS[kind], size=len(rows)) for name, kind in fields], [name for name, _ in fields])

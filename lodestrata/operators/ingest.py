@@ -7,12 +7,13 @@ once per distinct reference. A container that is already known is not unpacked a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..arrow import in_groups
 from ..functions.formats import CRITERIA, detect
 from ..functions.refs import entry_type, header, ref_key
 from ..scratch import store
@@ -129,6 +130,16 @@ def rebuild_counts(manifests: DataFrame) -> DataFrame:
     return kinds.agg(*(F.count_if(F.col("kind") == name).alias(name) for name in tables))
 
 
+def _written(parts: Iterator[dict]) -> dict:
+    """The container of its parts in order; a row without a path stands for no part."""
+    children, first = [], None
+    for r in parts:
+        first = first or r
+        if r["path"] is not None:
+            children.append(Child(r["path"], b"" if r["entry_type"] == 1 else bytes(r["content"]), r["mtime"], r["mode"], r["format_metadata"]))
+    return {"container_key": first["container_key"], "content": WRITE[first["format_key"]](children)}
+
+
 def reconstruct(manifests: DataFrame, contents: DataFrame, max_depth: int = 16) -> DataFrame:
     """container_key, content of every container, bottom-up: a round writes those whose parts are all there."""
     done = contents.select("key", "content")
@@ -137,20 +148,12 @@ def reconstruct(manifests: DataFrame, contents: DataFrame, max_depth: int = 16)
         if not left.limit(1).count():
             break
         parts = left.select("container_key", "format_key", F.explode_outer("entries").alias("e")).select("container_key", "format_key", "e.*")
-        joined = parts.join(done, "key", "left")
-        missing = F.col("key").isNotNull() & (F.col("entry_type") != 1) & F.col("content").isNull()
-        waits = joined.where(missing).select("container_key").distinct()
-
-        def write(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf[pdf["path"].notna()].sort_values("ordinal") if pdf["path"].notna().any() else pdf.iloc[:0].assign(first=None)
-            children = [Child(r.path, b"" if r.entry_type == 1 else bytes(r.content), None if pd.isna(r.mtime) else int(r.mtime), None if pd.isna(r.mode) else int(r.mode), r.format_metadata) for r in pdf.itertuples()]
-            return pd.DataFrame({"content": [WRITE[write.format](children)]})
-
-        def grouped(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            write.format = key[1]
-            return write(pdf).assign(container_key=key[0])[["container_key", "content"]]
-
-        built = store(joined.join(waits, "container_key", "left_anti").groupBy("container_key", "format_key").applyInPandas(grouped, "container_key string, content binary"), "built")
+        # Which parts are there is told by keys alone; contents join only those that are written.
+        needed = parts.where(F.col("key").isNotNull() & (F.col("entry_type") != 1)).select("container_key", "key")
+        waits = needed.join(done.select("key"), "key", "left_anti").select("container_key").distinct()
+        ready = parts.join(waits, "container_key", "left_anti").join(done, "key", "left")
+        columns = ("container_key", "format_key", "ordinal", "path", "entry_type", "mtime", "mode", "format_metadata", "content")
+        built = store(in_groups(ready.select(*columns), "container_key", ["ordinal"], _written, "container_key string, content binary", "content"), "built")
         done = done.unionByName(built.select(F.col("container_key").alias("key"), "content"))
         left = store(left.join(built.select("container_key"), "container_key", "left_anti"), "left")
     else:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..arrow import in_groups
 from ..functions import codecs, formats, refs
 from ..functions.hashing import blake3_128
 from ..operators import catalog, ingest, provenance, search, security, tasks, triggers
@@ -263,16 +264,15 @@ def row_counts(docs, pages, orders):
 
 def _archives(conv: DataFrame) -> DataFrame:
     """A ZIP per conversation, its turns as text files: input for the archive queries."""
-    import pandas as pd
-
     from ..sources.archives import Child, write_zip
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        children = [Child(f"{r.turn}-{r.role}.txt", (r.text or "").encode(), 1704067200000) for r in pdf.itertuples()]
-        return pd.DataFrame({"filename": [f"{pdf['conv_id'].iloc[0]}.zip"], "content": [write_zip(children)]})
+    def pack(turns) -> dict:
+        turns = list(turns)
+        children = [Child(f"{r['turn']}-{r['role']}.txt", (r["text"] or "").encode(), 1704067200000) for r in turns]
+        return {"filename": f"{turns[0]['conv_id']}.zip", "content": write_zip(children)}
 
-    return conv.groupBy("conv_id").applyInPandas(pack, "filename string, content binary")
+    rows = conv.select("conv_id", "turn", "role", "text")
+    return in_groups(rows, "conv_id", [F.asc_nulls_last("turn"), "role", "text"], pack, "filename string, content binary", "content")
 
 
 @query("SELECT md5(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS leaf_size, count(*) AS entries FROM (SELECT DISTINCT turn, role, text, k FROM (SELECT turn, role, text, md5(string_agg(turn || role || text, chr(1) ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS k FROM conversations)) GROUP BY ALL", "conversations")
