@@ -99,3 +99,14 @@ def test_archives_are_written_and_unpacked_without_frames_per_archive(unbounded)
     assert done.entries.count() == len(texts)
     made = ingest.reconstruct(ingest.manifests_of(done), done.contents)
     assert sorted(bytes(r.content) for r in made.collect()) == sorted(bytes(r.content) for r in archives.collect())
+
+
+def test_messages_are_decoded_once(spark):
+    """Two fields read of the decoded struct took two decodings, each with its own worker."""
+    from lodestrata.plans import library
+
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    plan = library.manifests_exchanged(conv)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    wire = spark.createDataFrame([(bytearray(manifest.encode({"entries": [{"path": "a"}, {"path": "b"}]})),)], "w binary")
+    assert [r.e.path for r in wire.select(F.explode(manifest.decoded(F.col("w"))["entries"]).alias("e")).collect()] == ["a", "b"]
