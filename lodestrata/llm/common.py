@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..arrow import SLICE_BYTES, byte_size, in_arrow  # noqa: F401
-from ..scratch import discard, scratch_dir  # noqa: F401
+from ..scratch import discard, scratch_dir, settle  # noqa: F401
 from ..scratch import store as stored
 
 #: Rows up to which a list of keys is broadcast; beyond it, the join shuffles.

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from itertools import batched, count
 
 import numpy as np
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import release
 from .common import held_out, in_arrow, sampled, slices, text_of
 
 SAMPLE_DOCS = 2000
@@ -51,6 +52,22 @@ def words_of(text: str) -> list[str]:
     return [part for w in words for part in LETTERS.findall(w)]
 
 
+class Table(Mapping):
+    """Rows of a matrix by name."""
+
+    def __init__(self, ids: dict[str, int], rows: np.ndarray):
+        self.ids, self.rows = ids, rows
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.rows[self.ids[name]]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.ids)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
 class Model:
     def __init__(self, samples: Iterable[tuple[str, str]]):
         """samples: (language, text)."""
@@ -63,44 +80,57 @@ class Model:
         for lang in self.languages:
             total.update(words[lang])
         known = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:WORDS]]
-        grams: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        counts = np.array([[words[lang][w] for lang in self.languages] for w in known], float).reshape(len(known), n)
+        self.words = Table({w: i for i, w in enumerate(known)}, self._logs(counts, np.array([sum(words[x].values()) for x in self.languages], float)))
+        ids: list[dict[str, int]] = [{}]
+        rows: list[np.ndarray] = []
+        row = count()
+        # One length after another: the driver holds the grams of one, and those that stay.
+        for size in range(1, LONGEST + 1):
+            names, counts = self._counted(words, size)
+            sums = counts.sum(axis=1)
+            best = sorted(range(len(names)), key=lambda i: (-sums[i], names[i]))[: GRAMS // LONGEST]
+            ids.append({names[i]: next(row) for i in best})
+            rows.append(self._logs(counts[best], counts.sum(axis=0) if names else np.ones(n)))
+        #: With a last row of zeros for words of which nothing is known.
+        self.gram_rows = np.concatenate([*rows, np.zeros((1, n))])
+        self.grams = [Table(x, self.gram_rows) for x in ids]
+
+    def _counted(self, words: dict[str, Counter], size: int) -> tuple[list[str], np.ndarray]:
+        """The grams of one length, and how often each language has them."""
+        n = len(self.languages)
+        ids: dict[str, int] = {}
+        counts = np.zeros((1024, n))
         for k, lang in enumerate(self.languages):
             for w, c in words[lang].items():
-                for size, found in self._grams(w):
-                    for g in found:
-                        grams[size].setdefault(g, np.zeros(n, np.float64))[k] += c
-        self.words = self._logs(known, [np.array([words[lang][w] for lang in self.languages], float) for w in known], np.array([sum(words[x].values()) for x in self.languages], float))
-        self.grams = []
-        for size, table in enumerate(grams):
-            best = sorted(table.items(), key=lambda x: (-x[1].sum(), x[0]))[: GRAMS // LONGEST]
-            self.grams.append(self._logs([g for g, _ in best], [c for _, c in best], np.sum(list(table.values()), axis=0) if table else np.ones(n)))
-        #: The same in one matrix, with a last row of zeros for words of which nothing is known.
-        self.gram_rows = np.array([*(x for table in self.grams for x in table.values()), np.zeros(n)])
-        row = count()
-        self.gram_ids = [{g: next(row) for g in table} for table in self.grams]
+                for g in self._grams_of(w, size):
+                    at = ids.setdefault(g, len(ids))
+                    if at == len(counts):
+                        counts = np.concatenate([counts, np.zeros_like(counts)])
+                    counts[at, k] += c
+        return list(ids), counts[: len(ids)]
 
     @staticmethod
-    def _grams(word: str) -> Iterator[tuple[int, list[str]]]:
+    def _grams_of(word: str, size: int) -> list[str]:
+        if size == 1:
+            return list(word)
         marked = f"^{word}$"
-        for size in range(LONGEST, 1, -1):
-            yield size, [marked[i : i + size] for i in range(len(marked) - size + 1)]
-        yield 1, list(word)
+        return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
     @staticmethod
-    def _logs(names: list[str], counts: list[np.ndarray], totals: np.ndarray) -> dict[str, np.ndarray]:
-        """Smoothed log frequencies of each name in each language."""
+    def _logs(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Smoothed log frequencies: a row for each name, a column for each language."""
         smooth = 0.1
-        base = np.log(totals + smooth * (len(names) + 1))
-        return {w: np.log(c + smooth) - base for w, c in zip(names, counts, strict=True)}
+        return np.log(counts + smooth) - np.log(totals + smooth * (len(counts) + 1))
 
     def backoff(self, words: Sequence[str]) -> np.ndarray:
         """Scores of unseen words, a row for each."""
         ids: list[int] = []
         counts, shares = np.ones(len(words), np.int64), np.ones(len(words))
         for k, word in enumerate(words):
-            for size, found in self._grams(word):
-                table = self.gram_ids[size]
-                seen = [table[g] for g in found if g in table]
+            for size in range(LONGEST, 0, -1):
+                table = self.grams[size].ids
+                seen = [table[g] for g in self._grams_of(word, size) if g in table]
                 if seen:
                     ids += seen
                     counts[k], shares[k] = len(seen), min(1.0, size / LONGEST)
@@ -119,11 +149,10 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        m = self.model
-        self.index = {w: i for i, w in enumerate(m.words)}
-        self.rows = list(m.words.values())
-        self.matrix = np.array(self.rows) if self.rows else np.zeros((0, len(m.languages)))
-        self.filled = len(self.rows)
+        words = self.model.words
+        self.index = dict(words.ids)
+        #: Its first rows are the index's; those of the model are copied when the first new word is added.
+        self.matrix, self.filled = words.rows, len(words)
 
     def score(self, text: str) -> tuple[str, float]:
         words = words_of(text)
@@ -137,14 +166,14 @@ class Scorer:
                 index = self.index
                 new = {w for w in words if w not in index}
             for block in batched(new, BLOCK):
-                index.update(zip(block, range(len(self.rows), len(self.rows) + len(block)), strict=True))
-                self.rows += list(self.model.backoff(block))
-            if len(self.rows) > len(self.matrix):
-                grown = np.empty((max(1024, 2 * len(self.rows)), self.matrix.shape[1]))
-                grown[: self.filled] = self.matrix[: self.filled]
-                self.matrix = grown
-            self.matrix[self.filled : len(self.rows)] = self.rows[self.filled :]
-            self.filled = len(self.rows)
+                end = self.filled + len(block)
+                if end > len(self.matrix):
+                    grown = np.empty((max(1024, 2 * end), self.matrix.shape[1]))
+                    grown[: self.filled] = self.matrix[: self.filled]
+                    self.matrix = grown
+                self.matrix[self.filled : end] = self.model.backoff(block)
+                index.update(zip(block, range(self.filled, end), strict=True))
+                self.filled = end
         ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         mean = self.matrix[ids].mean(axis=0)
         z = (mean - mean.max()) * min(len(words), EVIDENCE)
@@ -166,7 +195,14 @@ def train(docs: DataFrame) -> Model:
     lead = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, SAMPLE_CHARS)
     text = F.when(F.length("text") > SAMPLE_CHARS, lead).otherwise(F.col("text")).alias("text")
     rows = learn.join(F.broadcast(fractions), "lang").where(sampled(F.col("ld_fraction"), "text")).select("lang", text).distinct().toArrow()
-    return Model(sorted(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True)))
+    return Model(pair for part in slices(rows.to_batches()) for pair in zip(part["lang"].to_pylist(), part["text"].to_pylist(), strict=True))
+
+
+def shared_model(docs: DataFrame, model: Model | None):
+    """The model as a broadcast; what the driver's Python took to learn it goes back to the system."""
+    bc = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    release()
+    return bc
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float]]]]:
@@ -177,7 +213,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[tuple[pa.Recor
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
-    bc = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    bc = shared_model(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _scored(batches, bc):
@@ -189,7 +225,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, model: Model | None = None) -> DataFrame:
     """Documents whose language is found with at least min_score, with all columns."""
-    bc = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    bc = shared_model(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _scored(batches, bc):

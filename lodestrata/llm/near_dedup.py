@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, in_arrow, keyed_filter, lowered, mixed, normalised, prefix_hash, slices, span_hash, stored, text_of, word_spans
+from .common import discard, in_arrow, keyed_filter, lowered, mixed, normalised, prefix_hash, settle, slices, span_hash, stored, text_of, word_spans
 from .components import components
 
 WORDS = 5
@@ -331,10 +331,10 @@ def candidate_pairs(shared: DataFrame) -> DataFrame:
         F.max("content").alias("high"),
         F.min(F.struct(other.alias("h"), "content"))["content"].alias("low2"),
         F.max(F.struct(other.alias("h"), "content"))["content"].alias("high2"),
+        F.first("members").alias("members"),
     )
     # A large bucket is dealt to several tasks, and its hubs go to each of them.
-    largest = shared.groupBy("band", "key").agg(F.first("members").alias("members"))
-    dealt = hubs.join(largest, ["band", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("members") / DEAL).cast("int")))).drop("members")
+    dealt = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("members") / DEAL).cast("int")))).drop("members")
     part = F.pmod(F.xxhash64("content"), F.floor(F.col("members") / DEAL) + 1).cast("int")
     joined = shared.select("band", "key", "content", part.alias("part")).join(dealt, ["band", "key", "part"])
     met = joined.select("content", F.explode(F.array_distinct(F.array("p", "low", "high", "low2", "high2"))).alias("hub")).where("content <> hub")
@@ -493,8 +493,12 @@ def exactly_linked(shared: DataFrame, labels: DataFrame, sets: DataFrame, thresh
     rows = mixed_rows(shared, labels, sets)
     prefix = prefixes(rows, threshold)
     discard(rows)
+    settle(prefix.sparkSession)
     for pairs in (*[leading_pairs] * ROUNDS, remaining_pairs):
-        links = stored(verified(pairs(labelled(prefix, labels), threshold), sets, threshold), "links")
+        named = stored(labelled(prefix, labels), "labelled")
+        links = stored(verified(pairs(named, threshold), sets, threshold), "links")
+        discard(named)
+        settle(prefix.sparkSession)
         if links.limit(1).count():
             labels = relabelled(labels, links)
     return labels
@@ -515,6 +519,7 @@ def near_labels(docs: DataFrame, words: int = WORDS, threshold: float = SIMILARI
     """Stored signatures, distinct contents (content, first_id, n) and the labels (node, label) of linked contents."""
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(frequent_weights(docs, words))
+    settle(spark)
     signed = stored(signatures(docs, weights, words, samples, rows), "signatures")
     nodes = signed.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "contents")
@@ -522,7 +527,11 @@ def near_labels(docs: DataFrame, words: int = WORDS, threshold: float = SIMILARI
     # Every text of a shared bucket meets a hub, so these sets serve both searches.
     wanted = stored(nodes.join(shared.select("content").distinct(), "content").select(F.col("first_id").alias("doc_id"), "content"), "wanted")
     sets = stored(shingle_sets(docs, wanted, weights, words), "sets")
-    labels = components(stored(verified(candidate_pairs(shared), sets, threshold), "links"))
+    settle(spark)
+    links = stored(verified(candidate_pairs(shared), sets, threshold), "links")
+    settle(spark)
+    labels = components(links)
+    settle(spark)
     labels = exactly_linked(shared, labels, sets, threshold)
     return signed, nodes, labels
 

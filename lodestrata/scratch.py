@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,12 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Collects the driver's garbage between parts of a long chain of queries, as Spark's cleaner does each half hour.
+
+    Plans, shuffle files and broadcasts of ended queries go only then, and the driver's heap shrinks to what is in use.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
